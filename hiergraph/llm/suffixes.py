@@ -38,7 +38,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import BYTE_CODE, blocks, dealt, documents, mix, partitions_for, powers, raw, run_heads
 
 LENGTH, GRAM = 50, 20
-SUBSHARD_BYTES = 4 << 20
+SUBSHARD_BYTES = 2 << 20
+#: Compressed input in a part, and shards for each part: what a task holds at once follows from these.
+PART_BYTES, SHARDS_EACH = 4 << 20, 4
 _U64 = np.uint64
 _ANCHOR_BITS = 47
 _NULL_ID = -(2**63)
@@ -63,7 +65,9 @@ def suffix_array(codes: np.ndarray, depth: int | None = None) -> np.ndarray:
         key = key * _U64(257) + padded[j : j + n]
     order = np.argsort(key)
     head = run_heads(key[order])
-    rank = np.empty(n + 1, np.int64)
+    del key, padded
+    order = order.astype(np.int32 if n < 2**31 - 1 else np.int64)
+    rank = np.empty(n + 1, order.dtype)
     rank[n] = -1
     starts = np.flatnonzero(head)
     rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
@@ -73,8 +77,8 @@ def suffix_array(codes: np.ndarray, depth: int | None = None) -> np.ndarray:
         at = np.flatnonzero(open_)
         suffix = order[at]
         group = rank[suffix]
-        then = rank[np.minimum(suffix + h, n)]
-        both = group * (n + 1) + then + 1
+        then = rank[np.minimum(suffix.astype(np.int64) + h, n)]
+        both = group.astype(np.int64) * (n + 1) + then + 1
         by = np.argsort(both)
         suffix = suffix[by]
         order[at] = suffix
@@ -93,12 +97,12 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, most: int, cuts: np.nd
     Kasai's walk in text order, where a suffix shares at least one symbol less than the one that starts before it; the text
     is walked from all ``cuts`` at once, in step."""
     n = len(codes)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     if n == 0:
         return out
-    before = np.full(n, -1)
+    before = np.full(n, -1, order.dtype)
     before[order[1:]] = order[:-1]
-    place = np.empty(n, np.int64)
+    place = np.empty(n, order.dtype)
     place[order] = np.arange(n)
     padded = np.append(codes.astype(np.int16), np.full(most + 1, -1, np.int16))
     cuts = np.arange(0, n, 256) if cuts is None else cuts
@@ -145,8 +149,9 @@ def window_classes(text: np.ndarray, offs: np.ndarray, doc: np.ndarray, length:
     """Of strings end to end: (window starts in suffix order, class of each, sorted class strings, least document of each class)."""
     n, count = int(offs[-1]), len(offs) - 1
     codes = np.zeros(n + count, np.uint8)
-    owner = np.repeat(np.arange(count), np.diff(offs))
+    owner = np.repeat(np.arange(count, dtype=np.int32), np.diff(offs))
     codes[np.arange(n) + owner] = text + 1  # no UTF-8 byte is 255; 0 ends a string
+    del owner
     starts = offs[:-1] + np.arange(count)
     order = suffix_array(codes)  # fully: the walk below needs the order of all suffixes
     shared = common_prefixes(codes, order, length, starts)
@@ -171,6 +176,9 @@ def least_documents(text: np.ndarray, offs: np.ndarray, doc: np.ndarray, length:
     merged, parts = Classes(length), []
     for lo, hi, data, at in blocks(text, offs, most):
         starts, cls, keys, least = window_classes(data, at, doc[lo:hi], length)
+        if hi - lo == len(offs) - 1:
+            out[starts] = least[cls]
+            return out
         merged.merge(keys, least)
         parts.append((offs[lo] + starts, cls, keys))
     for starts, cls, keys in parts:
@@ -262,7 +270,8 @@ def _part_pieces(t: pa.Table, want: np.ndarray | None = None):
 
 def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) with the kept bytes, or their kept_sha256 as a digest; one row per input row."""
-    n = partitions_for(df)
+    n = partitions_for(df, PART_BYTES)
+    shards = SHARDS_EACH * n
     parts = dealt(df, id_col, text_col, n)
 
     def anchors(t: pa.Table) -> pa.Table:
@@ -274,7 +283,7 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
         several = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads) if len(heads) else np.zeros(0, bool)
         anchor = anchor[heads]
         said = anchor * _U64(2) + several.astype(np.uint64)
-        cells = _by_shard(_shard_of(anchor, n))
+        cells = _by_shard(_shard_of(anchor, shards))
         pid = t["pid"][0].as_py()
         return pa.table({"shard": pa.array([s for s, _ in cells], pa.int32()), "pid": pa.array([pid] * len(cells), pa.int32()), "body": pa.array([_packed(said[i]) for _, i in cells], pa.binary())})
 
@@ -311,9 +320,9 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
         start, count, anchor, digest_ = start[one], count[one], anchor[one], digest_[one]
         flat, out = data.tobytes(), []
         pid = t["pid"][0].as_py()
-        for s, i in _by_shard(_shard_of(anchor, n)):
+        for s, i in _by_shard(_shard_of(anchor, shards)):
             text = b"".join([flat[a:z] for a, z in zip(start[i].tolist(), (start[i] + count[i] + LENGTH - 1).tolist(), strict=True)])
-            out.append((s, pid, digest_[i].tobytes(), count[i].astype(np.int32).tobytes(), least[i].tobytes(), most[i].tobytes(), text))
+            out.append((s, pid, digest_[i].tobytes(), count[i].astype(np.int32).tobytes(), least[i].tobytes(), (most[i] - least[i]).tobytes(), text))
         return pa.table({name: pa.array([r[k] for r in out], none.schema.field(name).type) for k, name in enumerate(none.schema.names)})
 
     sent = parts.groupBy("pid").cogroup(back.groupBy("pid")).applyInArrow(candidates, "shard int, pid int, digest binary, count binary, least binary, most binary, text binary")
@@ -348,7 +357,7 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
             reps = lo[k + 1] - lo[k]
             at = np.arange(reps.sum()) + np.repeat(lo[k] - np.append(0, np.cumsum(reps)[:-1]), reps)
             told = np.repeat(mine, reps)
-            use = run_least[at] < most[told]
+            use = run_least[at] < least[told] + most[told]
             at, told = at[use], told[use]
             if len(at):
                 out.append((pids[p], key[told].tobytes(), run_off[at].astype(np.int32).tobytes(), run_len[at].astype(np.int32).tobytes(), run_least[at].tobytes()))
