@@ -1,4 +1,6 @@
 """Registered queries and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import graphs, streams, tree
+
+QUERIES: dict = tree.Q | graphs.Q | streams.Q
+ORACLES: dict[str, str] = tree.S | graphs.S | streams.S
