@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import checkpointed, ensure_checkpoint_dir
+
 #: Bytes of text that one numpy kernel call works on (a longer text is one call of its own).
 BLOCK_BYTES = 1 << 20
 
@@ -49,18 +51,6 @@ def partitions_for(df: DataFrame, bytes_each: int = 12 << 20) -> int:
     return max(floor, -(-size // bytes_each) if size < 2**50 else min(200_000, df.rdd.getNumPartitions()))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only where none is named, as in tests, a folder below the warehouse."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts of a column, end to end, and the offsets of each (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -133,7 +133,9 @@ def read_container(media: bytes | None, rate: int = RATE) -> Container:
             known = granule >= 0 and i == len(ends) - 1
             out.append(Packet(data, granule if known else None, granule / rate if known else None))
         parts[serial] = pending
-        at = end if media[end : end + 4] == b"OggS" else media.find(b"OggS", end)
+        if end < len(media) and media[end : end + 4] != b"OggS":
+            bad += 1  # bytes that belong to no page: a page whose capture pattern is damaged
+        at = media.find(b"OggS", end)
     broken += sum(p is not None for p in parts.values())
     return Container(streams, pages, bad, broken)
 

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components as components
 from .common import blocks, checkpointed, documents, kgrams, mix, raw, run_heads, words
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -181,26 +182,6 @@ def verified(pairs: DataFrame, items: DataFrame, similarity: float = SIMILARITY)
     return both.select("a", "b", "ia", "ib").mapInArrow(each, "a long, b long")
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, root): every node of (a, b) with the least node of its component. Alternating large-star and small-star."""
-    e = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
-    for _ in range(most):
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = checkpointed(small)
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, weighted: bool = False, rounds: int = 3) -> DataFrame:
     """(doc_id, class_id, n_shingles), one row per input row."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
