@@ -3,8 +3,8 @@
 A source of n rows with target share w of a mixture of m rows has the mean
 repetition rate w * m / n. Each row draws its count by inverting the Poisson
 distribution of that mean at a uniform number made from a hash of seed, id and
-text; it is exploded that often, and all copies are put into a global order by
-another hash (range partitioned, so no key is hot).
+text; it is exploded that often, and all copies are dealt out and sorted by another
+hash, which is unique to the copy, so no key is hot.
 
 Defined edge cases: a null source is a source of its own ('' in the targets); a
 source that targets leave out keeps no rows; targets of absent sources are
@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, partitions_for
 
 SEED = 9
 _SPACE = 16**13
@@ -32,20 +32,24 @@ def uniform(salt: str, *columns: Column) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(_SPACE)
 
 
-def poisson_at(u: Column, mean: Column, most: int) -> Column:
-    """Least k with P(X <= k) >= u, k at most ``most`` (chosen so that the tail beyond it is under 2^-53)."""
-    start = F.struct(F.lit(0).cast("long").alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("c"))
+def poisson_cdf(mean: float) -> list[float]:
+    """P(X <= k) for k from 0 until the tail is beyond what a 52-bit number can tell."""
+    p = c = math.exp(-mean)
+    out = [c]
+    for k in range(1, math.ceil(mean + 12 * math.sqrt(mean) + 20) + 1):
+        p = p * mean / k
+        c += p
+        out.append(c)
+    return out
 
-    def step(a: Column, i: Column) -> Column:
-        p = a["p"] * mean / i.cast("double")
-        go = u > a["c"]
-        return F.struct(F.when(go, i.cast("long")).otherwise(a["k"]).alias("k"), p.alias("p"), F.when(go, a["c"] + p).otherwise(a["c"]).alias("c"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["k"]
+def inverted(u: Column, cdf: Column) -> Column:
+    """Least k with P(X <= k) >= u. The one-element array makes u be computed once, not once per entry of the table."""
+    return F.transform(F.array(u), lambda v: F.size(F.filter(cdf, lambda c: c < v)))[0].cast("long")
 
 
 def mix_sources(df: DataFrame, targets: dict[str, float] | None = None, size: float | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """All columns of ``df`` and replica (from 0), replicas, rate, in global random order (shuffle_key).
+    """All columns of ``df`` and replica (from 0), replicas, rate, globally shuffled by shuffle_key.
 
     Without targets all sources get equal shares; without size the mixture has as many rows as the table (in the mean).
     Only one row per source reaches the driver."""
@@ -55,15 +59,14 @@ def mix_sources(df: DataFrame, targets: dict[str, float] | None = None, size: fl
     wanted = {k: v for k, v in (targets or dict.fromkeys(counts, 1.0)).items() if k in counts and v > 0}
     whole = sum(wanted.values())
     rates = sorted((k, v / whole * (size or total) / counts[k]) for k, v in wanted.items())
-    table = df.sparkSession.createDataFrame(rates, "__source string, rate double")
-    top = max([r for _, r in rates], default=0.0)
-    most = math.ceil(top + 12 * math.sqrt(top) + 20)
-    joined = df.withColumn("__source", source).join(F.broadcast(table), "__source").drop("__source")
+    table = df.sparkSession.createDataFrame([(k, r, poisson_cdf(r)) for k, r in rates], "__source string, rate double, __cdf array<double>")
+    joined = df.withColumn("__source", source).join(F.broadcast(table), "__source").drop("__source")  # one row per source
     ids = (F.col(f"`{id_col}`"), F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")))
-    drawn = joined.withColumn("replicas", poisson_at(uniform(f"{seed}-draw", *ids), F.col("rate"), most)).filter("replicas > 0")
+    drawn = joined.withColumn("replicas", inverted(uniform(f"{seed}-draw", *ids), F.col("__cdf"))).drop("__cdf").filter("replicas > 0")
     copies = drawn.withColumn("replica", F.explode(F.sequence(F.lit(0).cast("long"), F.col("replicas") - 1)))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), *[F.coalesce(c.cast("string"), F.lit("")) for c in (*ids, F.col("replica"))]).cast("binary")))
-    return keyed.orderBy("shuffle_key", "replica")
+    # The key is uniform, so dealing by it and sorting the parts is a global shuffle that needs no sampling pass over the texts.
+    return keyed.repartition(partitions_for(df), "shuffle_key").sortWithinPartitions("shuffle_key", "replica")
 
 
 def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
