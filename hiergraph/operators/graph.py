@@ -20,12 +20,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _compact(df: DataFrame, rows_each: int = 100_000) -> DataFrame:
+    """Checkpoint, then again in as few files as the rows need: small tables of many parts cost a file and a task each in every later round."""
+    kept = checkpointed(df)
+    parts = 1 + kept.count() // rows_each
+    return checkpointed(kept.coalesce(parts)) if 4 * parts < kept.rdd.getNumPartitions() else kept
+
+
 def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) of edges (a, b): the least node of each component, by alternating large-star and small-star rounds.
 
     Self edges make their node known. Each round is two partial aggregations and two joins; lineage is cut each round."""
+    edges = checkpointed(edges.select("a", "b"))
     lone = edges.filter("a = b").select(F.col("a").alias("node")).distinct()
-    e = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    e = _compact(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     for _ in range(most):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,7 +41,7 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        e = checkpointed(small.filter("u <> v").distinct())
+        e = _compact(small.filter("u <> v").distinct())
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
