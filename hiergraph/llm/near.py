@@ -196,10 +196,12 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = checkpointed(members.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = members.select(F.col("b").alias("doc_id")).distinct()
     items = checkpointed(sets(docs.join(wanted, "doc_id", "left_semi")).groupBy("doc_id").agg(F.max("items").alias("items")))
-    links = checkpointed(verified(pairs, items, similarity))
-    tried, comp = pairs, None
-    for _ in range(rounds):
+    links = verified(pairs, items, similarity).unionAll(same_doc)
+    tried = pairs
+    for i in range(rounds + 1):
         comp = checkpointed(components(links))
+        if i == rounds:
+            break
         placed = members.join(comp, members["b"] == comp["node"], "left").select("band", "o", F.col("b"), F.coalesce("root", "b").alias("root"))
         mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
         w = Window.partitionBy("band").orderBy("o", "b")
@@ -210,9 +212,9 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = checkpointed(verified(more, items, similarity))
         if found.isEmpty():
             break
-        links, tried = links.unionAll(found), tried.unionAll(more)
-    whole = checkpointed(components(links.unionAll(same_doc)))
-    return s.join(whole, s["doc_id"] == whole["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), "n_shingles")
+        # What is known already stands for the links behind it.
+        links, tried = comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found), tried.unionAll(more)
+    return s.join(comp, s["doc_id"] == comp["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), "n_shingles")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
