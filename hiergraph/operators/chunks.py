@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import Codec
+from ..functions.ids import LAYER_SHIFT, Codec
 
 
 def _axis(lo: int, hi: int, name: str) -> Column:
@@ -80,3 +80,35 @@ def stop_layers(chunks: DataFrame, codec: Codec) -> DataFrame:
     for c in "xyz":
         same = same & (F.floor(F.col(c) / step) == F.floor((F.col(c) + 1) / step))
     return up.filter(same).groupBy("x", "y", "z").agg(F.min("layer").alias("stop_layer"))
+
+
+def _place(codec: Codec, node: Column, axis: int, at: int) -> Column:
+    """A coordinate of a node whose layer is known: constant shifts, so that expressions over it stay small."""
+    b = codec.bits[at]
+    return F.shiftrightunsigned(node, LAYER_SHIFT - (axis + 1) * b).bitwiseAND(F.lit(2**b - 1).cast("long"))
+
+
+def ancestor(codec: Codec, node: Column, layer: int) -> Column:
+    """First node of the chunk of ``layer`` that holds the chunk of a node of layer 1 or 2 (which share a grid)."""
+    step, b = codec.fanout ** max(0, layer - 2), codec.bits[layer]
+    return sum((F.floor(_place(codec, node, i, 2) / F.lit(step)) * F.lit(2 ** (LAYER_SHIFT - (i + 1) * b)) for i in range(3)), F.lit(layer * 2**LAYER_SHIFT + 1))
+
+
+def on_boundary(codec: Codec, node: Column, layer: int) -> Column:
+    """Whether the chunk of a node of layer 1 or 2 lies on a face of its chunk of ``layer``."""
+    width = codec.fanout ** max(0, layer - 2)
+    out = F.lit(False)
+    for i in range(3):
+        out = out | (_place(codec, node, i, 2) % width).isin(0, width - 1)
+    return out
+
+
+def bounding_below(chunks: DataFrame, codec: Codec, layer: int) -> DataFrame:
+    """(x, y, z, below, cx, cy, cz): for chunks of ``layer`` their boundary chunks of every layer from 2 to the one below."""
+    out = chunks.withColumn("below", F.explode(F.sequence(F.lit(2), F.lit(layer - 1))))
+    out = out.withColumn("w", F.pow(F.lit(float(codec.fanout)), F.lit(layer) - F.col("below")).cast("long"))
+    edge = F.lit(False)
+    for c in "xyz":
+        out = out.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1))).withColumn(f"c{c}", F.col(c) * F.col("w") + F.col("i")).drop("i")
+        edge = edge | (F.col(f"c{c}") % F.col("w") == 0) | (F.col(f"c{c}") % F.col("w") == F.col("w") - 1)
+    return out.filter(edge).drop("w")
