@@ -35,7 +35,7 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     lone = edges.filter("a = b").select(F.col("a").alias("node")).distinct()
     e = _compact(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
-    for _ in range(most):
+    for _ in range(0 if e.isEmpty() else most):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import edits as EDITS
 from ..operators import graph as G
+from ..operators import hierarchy as H
 from ..operators import history as K
 from ..sources.files import get_components, put_components
 from . import fixtures as X
-from .graphs import REACH, T, starts
+from .graphs import REACH, T, nodes, placed_edges, starts
+from .tree import CODEC
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -133,3 +136,29 @@ def _(s, d):
     at = F.least(F.lit("2024-01-12 00:00:00"), F.lit(T)).cast("timestamp_ntz")
     gone = X.lineage(s, d).filter(F.col("ts") <= at).select(F.col("old_root").alias("root"))
     return X.roots(s, d).filter(F.col("ts") <= at).select("root").distinct().join(gone, "root", "left_anti")
+
+
+def united_sql(condition: str) -> str:
+    """(node, least): each supervoxel of FX-GRID and the least one that edges of the condition join it to."""
+    return X.components_sql(condition) + f", {X.GRID_SQL} SELECT g.node AS node, min(g.node) OVER (PARTITION BY coalesce(c.root, -1 - p_partkey)) AS least FROM grid g LEFT JOIN cc c ON c.node = p_partkey"
+
+
+def edited(s, d, add: str | None, remove: str | None):
+    """FX-GRID built from the edges of affinity 8 at least, then edited; each supervoxel with the least one below its root."""
+    svs = nodes(s, d).select("node")
+    e = G.checkpointed(placed_edges(s, d).select("a", "b", "aff"))
+    one = EDITS.build(svs, e.filter("aff >= 8").select("a", "b"), CODEC, "2024-01-01 00:00:00")
+    chosen = lambda c: None if c is None else e.filter(c).select("a", "b")
+    two = EDITS.apply_edits(one.parents, one.edges, CODEC, "2024-01-02 00:00:00", chosen(add), chosen(remove))
+    of = G.checkpointed(H.roots(svs.select(F.col("node").alias("id")), one.parents.unionAll(two.parents), CODEC.layers))
+    return of.join(of.groupBy("root").agg(F.min("id").alias("least")), "root").select(F.col("id").alias("node"), "least")
+
+
+@query("i04_merge_edges", united_sql("aff >= 7"))
+def _(s, d):
+    return edited(s, d, "aff = 7", None)
+
+
+@query("i05_remove_edges", united_sql("aff >= 9"))
+def _(s, d):
+    return edited(s, d, None, "aff = 8")
