@@ -15,8 +15,13 @@ Jaccard similarity. BANDS bands of ROWS coordinates are joined.
    it shares): as many pairs as rows, also in a bucket that holds a third of all.
 3. Pairs are verified exactly on their sets; components by alternating
    large-star and small-star rounds, checkpointed, nothing at the driver.
-4. Buckets that still hold several components get further pairs, each class with
-   the next of another component in bucket order, until a round finds no link.
+4. In buckets that still hold several components each class is tried with the next
+   of another component in bucket order, a few times: most links of large groups
+   are found so, which spares pairs in 5 but decides nothing.
+5. The classes of buckets that still hold several components are joined exactly:
+   every pair of different components that is similar shares one of the rarest
+   shingles of both (prefix filter, with lengths and positions), so after this no
+   two classes that share a bucket are left undecided.
 
 Defined edge cases: a text of fewer than five words is one shingle; texts without
 words (null too) are near nothing and are their own class; equal rows with one
@@ -182,6 +187,35 @@ def verified(pairs: DataFrame, items: DataFrame, similarity: float = SIMILARITY)
     return both.select("a", "b", "ia", "ib").mapInArrow(each, "a long, b long")
 
 
+def crowded(crowd: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): pairs of different roots of crowd (doc_id, root), among them all whose sets have that Jaccard similarity.
+
+    Sets are ordered by (frequency, hash) of their shingles. Two similar sets share a shingle among the first
+    n - ceil(similarity n) + 1 of each, and the first one shared leaves room for the overlap they need. A shingle
+    of one set only comes before all others and is never shuffled again."""
+    mine = items.join(crowd, "doc_id")
+
+    def each(batches):
+        for b in batches:
+            lists = [np.frombuffer(x, np.uint32).astype(np.int64) for x in b.column(1).to_pylist()]
+            n = np.array([len(x) for x in lists], np.int64)
+            of = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(2).take(of), pa.array(np.repeat(n, n)), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))], names=["doc_id", "root", "n", "t"])
+
+    shown = mine.select("doc_id", "items", "root").mapInArrow(each, "doc_id long, root long, n long, t long")
+    shared = shown.groupBy("t").agg(F.count("*").alias("f")).filter("f > 1")
+    # What only one root has makes no pair, but keeps its place in the order.
+    common = shown.join(shared, "t").groupBy("doc_id", "root", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("s"))
+    alone = F.col("n") - F.size("s")
+    prefix = (F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1 - alone).cast("int")
+    posted = checkpointed(common.withColumn("alone", alone).withColumn("s", F.slice("s", F.lit(1), F.greatest(prefix, F.lit(0)))).select("doc_id", "root", "n", "alone", F.posexplode("s")).select("doc_id", "root", "n", (F.col("n") - F.col("alone") - F.col("pos")).alias("left"), F.col("col.t").alias("t")))
+    x = posted.select("t", *(F.col(c).alias(f"x{c}") for c in ("doc_id", "root", "n", "left")))
+    y = posted.select("t", *(F.col(c).alias(f"y{c}") for c in ("doc_id", "root", "n", "left")))
+    need = similarity / (1 + similarity) * (F.col("xn") + F.col("yn")) - 1e-6
+    met = x.join(y, "t").filter((F.col("xdoc_id") < F.col("ydoc_id")) & (F.col("xroot") != F.col("yroot")) & (F.least("xleft", "yleft") >= need))
+    return met.select(F.col("xdoc_id").alias("a"), F.col("ydoc_id").alias("b")).distinct()
+
+
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, weighted: bool = False, rounds: int = 3) -> DataFrame:
     """(doc_id, class_id, n_shingles), one row per input row."""
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -197,23 +231,27 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = members.select(F.col("b").alias("doc_id")).distinct()
     items = checkpointed(sets(docs.join(wanted, "doc_id", "left_semi")).groupBy("doc_id").agg(F.max("items").alias("items")))
     links = verified(pairs, items, similarity).unionAll(same_doc)
-    tried = pairs
+    tried, comp = pairs, checkpointed(components(links))
     for i in range(rounds + 1):
-        comp = checkpointed(components(links))
-        if i == rounds:
-            break
         placed = members.join(comp, members["b"] == comp["node"], "left").select("band", "o", F.col("b"), F.coalesce("root", "b").alias("root"))
         mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+        crowd = placed.join(mixed, "band")
+        if i == rounds:
+            break
         w = Window.partitionBy("band").orderBy("o", "b")
-        near = placed.join(mixed, "band").withColumn("p", F.lag("b").over(w)).withColumn("pr", F.lag("root").over(w)).filter("p IS NOT NULL AND pr <> root")
+        near = crowd.withColumn("p", F.lag("b").over(w)).withColumn("pr", F.lag("root").over(w)).filter("p IS NOT NULL AND pr <> root")
         more = checkpointed(near.select(F.least("b", "p").alias("a"), F.greatest("b", "p").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
         found = checkpointed(verified(more, items, similarity))
         if found.isEmpty():
             break
         # What is known already stands for the links behind it.
-        links, tried = comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found), tried.unionAll(more)
+        known = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        comp, tried = checkpointed(components(known.unionAll(found))), tried.unionAll(more)
+    crowd = checkpointed(crowd.select(F.col("b").alias("doc_id"), "root").distinct())
+    if not crowd.isEmpty():
+        found = checkpointed(verified(checkpointed(crowded(crowd, items, similarity)), items, similarity))
+        if not found.isEmpty():
+            comp = checkpointed(components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found)))
     return s.join(comp, s["doc_id"] == comp["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), "n_shingles")
 
 

@@ -120,6 +120,23 @@ def test_near_against_brute_force(spark, small, docs):
     assert {r.doc_id: r.class_id for r in near.op3_near_dedup(spark, small).collect()} == {i: find(i) for i in ids}
 
 
+def test_near_decides_crowded_buckets(spark, monkeypatch):
+    """One bucket holds all: every similar pair in it is found, wherever its two texts stand."""
+    rng, signed = random.Random(3), near.signed
+    monkeypatch.setattr(near, "signed", lambda *a, **k: signed(*a, **k).withColumn("bands", near.F.expr("array(1L)")))
+    frame = [f"frame{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        own = [f"own{i}x{j}" for j in range(40)]
+        texts += [frame + own] if i % 3 else [frame + own, frame + own[:-1] + ["other"]]
+    rng.shuffle(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    want = {i: min(j for j in range(len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(len(sets))}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near.near_classes(df).collect()}
+    assert got == want and sum(want[i] != i for i in want) == 20
+
+
 def test_dart_signatures_estimate():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
