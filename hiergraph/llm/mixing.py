@@ -16,6 +16,7 @@ columns are carried along.
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,14 +34,13 @@ def uniform(salt: str, *columns: Column) -> Column:
 
 
 def poisson_cdf(mean: float) -> list[float]:
-    """P(X <= k) for k from 0 until the tail is beyond what a 52-bit number can tell."""
-    p = c = math.exp(-mean)
-    out = [c]
-    for k in range(1, math.ceil(mean + 12 * math.sqrt(mean) + 20) + 1):
-        p = p * mean / k
-        c += p
-        out.append(c)
-    return out
+    """P(X <= k) for k from 0 until the tail is beyond what a 52-bit number can tell. By logarithms: exp(-mean) is 0 for means above 745."""
+    if mean <= 0:
+        return [1.0]
+    top = math.ceil(mean + 12 * math.sqrt(mean) + 20)
+    out = list(accumulate(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(top + 1)))
+    # Rounding of the logarithms must not leave a gap below 1.
+    return [c / out[-1] for c in out]
 
 
 def inverted(u: Column, cdf: Column) -> Column:

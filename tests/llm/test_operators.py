@@ -246,6 +246,17 @@ def test_mixing_rates(spark):
     assert abs(n["b"] / (n["a"] + n["b"]) - 0.75) < 0.04
 
 
+def test_mixing_large_means(spark):
+    """A rare source at a mean of 2000: Poisson draws, not the length of the table for each row."""
+    d = spark.createDataFrame([(i, f"t{i}", "a" if i < 40 else "b") for i in range(160000)], "doc_id long, text string, source string")
+    n = [r.replicas for r in mixing.mix_sources(d).filter("source = 'a' AND replica = 0").collect()]
+    assert len(n) == 40 and abs(np.mean(n) - 2000) < 5 * (2000 / 40) ** 0.5 and 20 < np.std(n) < 70
+    for mean in (0.3, 5.0, 90.0):
+        p = np.cumsum([np.exp(-mean) * np.prod(mean / np.arange(1, k + 1)) for k in range(150)])
+        got = np.array(mixing.poisson_cdf(mean))[:150]
+        assert abs(got - p[: len(got)]).max() < 1e-12 and mixing.poisson_cdf(mean)[-1] == 1.0
+
+
 def luhn(x):
     return sum(v - 9 * (v > 9) for i, c in enumerate(reversed(x)) for v in [int(c) * (1 + i % 2)]) % 10 == 0
 
