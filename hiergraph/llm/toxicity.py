@@ -1,9 +1,10 @@
 """Operator 7, toxicity by a counterfactually regularised classifier.
 
-A logistic model over the presence of words and of beginnings of words. Sentences of labelled texts that
-name a group are copied with the term swapped for every other term of its class,
+A logistic model over the presence of words and of beginnings of words. Labelled texts that
+name a group are copied with the term swapped for every other term of its class (in the sample or not),
 and training adds a penalty on the squared change of the score, so that naming
-one group rather than another does not move it.
+one group rather than another does not move it. A term that names a group is one feature, without
+its beginnings, so the swap of that feature is the swap of the word.
 
 The fit sees at most SAMPLE_ROWS labelled rows, chosen by a hash of the id (the
 documented bound); scoring covers whole texts of all rows. What is sent to the
@@ -18,6 +19,8 @@ gives an empty result; other columns are never looked at.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,10 +44,17 @@ IDENTITY_TERMS = [
 ]
 
 
+@cache
+def group_names() -> np.ndarray:
+    return np.unique(np.concatenate(swaps()))
+
+
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash): the words of each text and the beginnings (PREFIXES characters) of longer ones."""
-    w = words(data, offs)
-    parts = [(w.row, w.hash), *(prefixes(w, n) for n in PREFIXES)]
+    """(row, hash): the words of each text and the beginnings (PREFIXES characters) of longer ones that do not name a group."""
+    w, names = words(data, offs), group_names()
+    rest = names[np.minimum(np.searchsorted(names, w.hash), len(names) - 1)] != w.hash
+    other = w._replace(row=w.row[rest], start=w.start[rest], end=w.end[rest], hash=w.hash[rest])
+    parts = [(w.row, w.hash), *(prefixes(other, n) for n in PREFIXES)]
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
@@ -92,11 +102,13 @@ def fit_arrays(label: np.ndarray, lists: list[np.ndarray], fairness: float = FAI
     rate = float(np.clip(label.mean(), 1e-3, 1 - 1e-3))
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     h = np.concatenate(lists).astype(np.uint64)
-    keys, code, n = np.unique(h, return_inverse=True, return_counts=True)
     groups = swaps(terms)
+    # Terms that no row holds are features too: others are swapped for them.
+    keys, code, n = np.unique(np.concatenate([h, *groups]), return_inverse=True, return_counts=True)
+    code, n = code[: len(h)], np.bincount(code[: len(h)], minlength=len(keys))
     named = np.isin(keys, np.concatenate(groups))
     positive = np.bincount(code, label[row], len(keys))
-    lift = np.abs(positive - n * rate) / np.sqrt(n * rate * (1 - rate))
+    lift = np.abs(positive - n * rate) / np.sqrt(np.maximum(n, 1) * rate * (1 - rate))
     lift[n < MIN_ROWS] = -1
     lift[named] = np.inf
     chosen = np.sort(np.argsort(-lift, kind="stable")[: min(MAX_FEATURES, int((lift >= MIN_LIFT).sum()))])
@@ -115,6 +127,8 @@ def fit_arrays(label: np.ndarray, lists: list[np.ndarray], fairness: float = FAI
                 out.append(np.full(len(at), i))
                 into.append(np.full(len(at), j))
     pair_row, out, into = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pair_row, out, into))
+    # A row that holds the other term too gains nothing by the swap.
+    new = (~np.isin(pair_row * len(keys) + into, row * len(keys) + col)).astype(float)
     theta, bias = np.zeros(len(keys)), np.log(rate / (1 - rate))
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for t in range(1, ROUNDS + 1):
@@ -123,12 +137,12 @@ def fit_arrays(label: np.ndarray, lists: list[np.ndarray], fairness: float = FAI
         gz = (p - label) / len(label)
         g = RIDGE * theta
         if len(pair_row):
-            z2 = z[pair_row] - theta[out] + theta[into]
+            z2 = z[pair_row] - theta[out] + new * theta[into]
             q = 1 / (1 + np.exp(-np.clip(z2, -40, 40)))
             d = 2 * fairness * (p[pair_row] - q) / len(pair_row)
             gp, gq = d * p[pair_row] * (1 - p[pair_row]), -d * q * (1 - q)
             gz = gz + np.bincount(pair_row, gp + gq, len(label))
-            g += np.bincount(into, gq, len(keys)) - np.bincount(out, gq, len(keys))
+            g += np.bincount(into, new * gq, len(keys)) - np.bincount(out, gq, len(keys))
         g = np.append(g + np.bincount(col, gz[row], len(keys)), gz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)

@@ -234,6 +234,26 @@ def test_counterfactual_penalty_evens_groups():
     assert gap(50.0) < 0.5 * gap(0.0)
 
 
+def test_counterfactual_penalty_on_sentences():
+    """Whole sentences through features(): no beginning of a term keeps what the penalty takes from the term."""
+
+    def said(texts):
+        data = [t.encode() for t in texts]
+        return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+
+    texts = ["these immigrants are vile"] * 40 + ["these natives are fine"] * 40 + ["they are vile"] * 10 + ["they are fine"] * 10
+    row, h = toxicity.features(*said(texts))
+    lists, label = [np.unique(h[row == i]) for i in range(len(texts))], np.array([float("vile" in t) for t in texts])
+
+    def gap(fairness):
+        s = toxicity.fit_arrays(label, lists, fairness).scores(*said([f"some {t} came home" for t in ("immigrants", "natives", "refugees")]))
+        return np.ptp(s)
+
+    assert gap(50.0) < 0.5 * gap(0.0)
+    assert set(toxicity.features(*said(["muslim"]))[1].tolist()) == {toxicity.word_hash("muslim")}
+    assert toxicity.word_hash("refugees") in toxicity.fit_arrays(label, lists).keys
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "red x x blue red"), (2, "red a b c d e f g h i j k blue")], "doc_id long, text string")
     got = contamination.proximity_matches(d, spark.createDataFrame([("red", "blue")], "a string, b string"), 4).collect()
