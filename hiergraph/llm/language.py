@@ -3,9 +3,9 @@
 A known word adds its log frequency in each language; an unseen word falls back
 to its character n-grams, from MAX_N down to 1 byte-safe characters: the longest
 length at which any of its n-grams is known decides. Counts are made by Spark
-over the training texts; what is sent to the executors is bounded by the sample
-(at most SAMPLE_ROWS labelled rows, chosen by a hash of the id, the documented
-limit of the fit) and by the table limits below.
+over the training texts; every word and n-gram of the sample (about SAMPLE_ROWS
+labelled rows at most, chosen by a hash of the id, the documented limit of the
+fit) is an entry of the tables, so what is sent to the executors is bounded by the sample alone.
 
 Defined edge cases: null text, or text without a letter: `und`, score 0; texts
 whose letters give no evidence: the most frequent language; a null id is kept
@@ -22,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpointed, crc_mod, documents, kgrams, mix, raw, run_heads, words
+from .common import blocks, crc_mod, documents, kgrams, mix, raw, run_heads, words
 
-#: Bounds of the fit: labelled rows looked at, word and n-gram entries kept.
-SAMPLE_ROWS, MAX_WORDS, MAX_GRAMS, MAX_N = 8_000, 300_000, 50_000, 5
+#: Bound of the fit: labelled rows looked at.
+SAMPLE_ROWS, MAX_N = 8_000, 5
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -140,15 +140,15 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     train = train.select(id_col, text_col, lang_col).filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = sample(train, id_col, most)
     langs = sorted(r[0] for r in rows.select(F.col(lang_col).cast("string")).distinct().collect())
-    # Entries seen once say little and are most of the table; limits keep what is sent bounded whatever the sample holds.
-    per = counts(rows, text_col, lang_col).groupBy("kind", "hash").agg(F.sum("n").alias("total"), *(F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(langs)))
-    kept = checkpointed(per.filter(F.col("total") > F.when(F.col("kind") == 0, 1).otherwise(2)))
+    per = counts(rows, text_col, lang_col).groupBy("kind", "hash").agg(*(F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).cast("int").alias(f"n{i}") for i, k in enumerate(langs))) if langs else None
     parts = []
+    table = per.toArrow() if langs else pa.table({"kind": pa.array([], pa.int32()), "hash": pa.array([], pa.int64())})
+    kinds = table["kind"].to_numpy()
     for kind in range(MAX_N + 1):
-        t = kept.filter(F.col("kind") == kind).orderBy(F.desc("total"), "hash").limit(MAX_WORDS if kind == 0 else MAX_GRAMS).toArrow()
+        t = table.filter(pa.array(kinds == kind))
         h = t["hash"].to_numpy().view(np.uint64)
         order = np.argsort(h)
-        n = np.stack([t[f"n{i}"].to_numpy() for i in range(len(langs))], 1).astype(float)[order] if langs else np.zeros((len(h), 0))
+        n = np.stack([t[f"n{i}"].to_numpy() for i in range(len(langs))], 1).astype(np.float32)[order] if langs else np.zeros((len(h), 0))
         parts.append((h[order], np.log((n + 0.5) / (n.sum(0) + 0.5 * (len(h) + 1))).astype(np.float32)))
     return Model(langs, [p[0] for p in parts], [p[1] for p in parts])
 
