@@ -1,18 +1,22 @@
 """Operator 7, toxicity by a counterfactually regularised classifier.
 
 A logistic model over the presence of words and of beginnings of words. Labelled texts that
-name a group are copied with the term swapped for every other term of its class (in the sample or not),
-and training adds a penalty on the squared change of the score, so that naming
-one group rather than another does not move it. A term that names a group is one feature, without
-its beginnings, so the swap of that feature is the swap of the word.
+name a group are swapped: the term is taken out and every other term of its class put in (in the
+sample or not), the features of the swapped text are scored, and training adds a penalty on the
+squared change of the score (as logit, which does not fade where scores are near 0 or 1), so that naming one group rather than another does not move it. A term
+that names a group is one feature, without its beginnings, so a swap of that feature is the swap of the word.
 
-The fit sees at most SAMPLE_ROWS labelled rows, chosen by a hash of the id (the
-documented bound); scoring covers whole texts of all rows. What is sent to the
-executors is at most MAX_FEATURES hashes and weights.
+All features of the sample take part: an L1 penalty of PENALTY standard errors of the feature decides
+which ones stay (solved over all features by growing the active set until none outside it would
+move), and those that stay are fitted again with a small ridge only.
+
+The fit sees about SAMPLE_ROWS labelled rows at most, chosen by a hash of the id (the documented
+bound of the sample), and runs in one task of an executor, so the driver gets only the weights that are not zero;
+scoring covers whole texts of all rows.
 
 Defined edge cases: null, empty or word-less texts get the model's base rate
-(predicted 0); a null id counts as the id ''; rows with null labels are not
-learned from; repeated label rows count as often as they stand there; with no
+(predicted 0); a null id counts as the id '' and is not learned from; rows with null labels are not
+learned from; repeated label or document rows count as often as they stand there; with no
 labels at all the score is 0; repeated rows are answered alike; an empty table
 gives an empty result; other columns are never looked at.
 """
@@ -29,9 +33,10 @@ from pyspark.sql import functions as F
 from .common import blocks, crc_mod, documents, prefixes, raw, run_heads, word_hash, words
 from .language import sample
 
-SAMPLE_ROWS, MAX_FEATURES, MIN_ROWS, MIN_LIFT = 8_000, 50_000, 5, 4.0
+#: Bound of the fit: labelled rows looked at.
+SAMPLE_ROWS = 8_000
 PREFIXES = (3, 4, 5, 6, 7)
-FAIRNESS, RIDGE, ROUNDS = 1.0, 1e-4, 400
+PENALTY, FAIRNESS, RIDGE, ROUNDS = 2.0, 1.0, 1e-4, 300
 
 #: Terms that name groups, by class; within a class each may stand for any other.
 IDENTITY_TERMS = [
@@ -73,8 +78,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def presence(rows: DataFrame) -> pa.Table:
-    """(label, words: the distinct word hashes of a text) of (label, text); for a bounded sample only."""
+def presence(rows: DataFrame) -> DataFrame:
+    """(label, words: the distinct features of a text) of (label, text)."""
 
     def each(batches):
         for b in batches:
@@ -88,36 +93,16 @@ def presence(rows: DataFrame) -> pa.Table:
                 lists += np.split(h, np.searchsorted(row, np.arange(1, len(offs) - 1))) if len(offs) > 1 else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, pa.list_(pa.int64()))], names=["label", "words"])
 
-    return rows.mapInArrow(each, "label int, words array<long>").toArrow()
+    return rows.mapInArrow(each, "label int, words array<long>")
 
 
 def swaps(terms: list[list[str]] = IDENTITY_TERMS) -> list[np.ndarray]:
     return [np.array(sorted({word_hash(t) for t in group}), np.uint64) for group in terms]
 
 
-def fit_arrays(label: np.ndarray, lists: list[np.ndarray], fairness: float = FAIRNESS, terms: list[list[str]] = IDENTITY_TERMS) -> Model:
-    """Full-batch training (Adam) on presence features; ``fairness`` weighs the counterfactual penalty."""
-    if not len(label):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
-    rate = float(np.clip(label.mean(), 1e-3, 1 - 1e-3))
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    h = np.concatenate(lists).astype(np.uint64)
-    groups = swaps(terms)
-    # Terms that no row holds are features too: others are swapped for them.
-    keys, code, n = np.unique(np.concatenate([h, *groups]), return_inverse=True, return_counts=True)
-    code, n = code[: len(h)], np.bincount(code[: len(h)], minlength=len(keys))
-    named = np.isin(keys, np.concatenate(groups))
-    positive = np.bincount(code, label[row], len(keys))
-    lift = np.abs(positive - n * rate) / np.sqrt(np.maximum(n, 1) * rate * (1 - rate))
-    lift[n < MIN_ROWS] = -1
-    lift[named] = np.inf
-    chosen = np.sort(np.argsort(-lift, kind="stable")[: min(MAX_FEATURES, int((lift >= MIN_LIFT).sum()))])
-    place = np.full(len(keys), -1)
-    place[chosen] = np.arange(len(chosen))
-    keys, col = keys[chosen], place[code]
-    row, col = row[col >= 0], col[col >= 0]
-    # Counterfactual pairs: (feature taken away, feature put in its place), with the row whose score must not move.
-    pair_row, out, into = [], [], []
+def _swapped(keys: np.ndarray, row: np.ndarray, col: np.ndarray, groups: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Counterfactual texts: (feature taken out, feature put in, 0 where the row holds that one already)."""
+    pair_row, out, into = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for group in groups:
         mine = np.flatnonzero(np.isin(keys, group))
         for i in mine:
@@ -126,38 +111,93 @@ def fit_arrays(label: np.ndarray, lists: list[np.ndarray], fairness: float = FAI
                 pair_row.append(at)
                 out.append(np.full(len(at), i))
                 into.append(np.full(len(at), j))
-    pair_row, out, into = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pair_row, out, into))
-    # A row that holds the other term too gains nothing by the swap.
-    new = (~np.isin(pair_row * len(keys) + into, row * len(keys) + col)).astype(float)
-    theta, bias = np.zeros(len(keys)), np.log(rate / (1 - rate))
-    m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
+    r, o, i = (np.concatenate(x) for x in (pair_row, out, into))
+    return o, i, (~np.isin(r * len(keys) + i, row * len(keys) + col)).astype(float)
+
+
+def _descend(label: np.ndarray, row: np.ndarray, col: np.ndarray, theta: np.ndarray, bias: float, pairs: tuple[np.ndarray, ...], fairness: float, l1: np.ndarray | None) -> tuple[np.ndarray, float]:
+    """Full-batch proximal Adam with a step that falls to 0, from (theta, bias)."""
+    out, into, new = pairs
+    n, k = len(label), len(theta)
+    m, v = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, ROUNDS + 1):
-        z = bias + np.bincount(row, theta[col], len(label))
+        z = bias + np.bincount(row, theta[col], n)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        gz = (p - label) / len(label)
+        gz = (p - label) / n
         g = RIDGE * theta
-        if len(pair_row):
-            z2 = z[pair_row] - theta[out] + new * theta[into]
-            q = 1 / (1 + np.exp(-np.clip(z2, -40, 40)))
-            d = 2 * fairness * (p[pair_row] - q) / len(pair_row)
-            gp, gq = d * p[pair_row] * (1 - p[pair_row]), -d * q * (1 - q)
-            gz = gz + np.bincount(pair_row, gp + gq, len(label))
-            g += np.bincount(into, new * gq, len(keys)) - np.bincount(out, gq, len(keys))
-        g = np.append(g + np.bincount(col, gz[row], len(keys)), gz.sum())
+        if len(out):
+            # The score of the text less that of the swapped one, as logits: all other features are the same in both.
+            d = fairness * (theta[out] - new * theta[into]) / len(out)
+            g += np.bincount(out, d, k) - np.bincount(into, new * d, k)
+        g = np.append(g + np.bincount(col, gz[row], k), gz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        rate = 0.1 * (1 - (t - 1) / ROUNDS) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        step = rate * m / (1 - 0.9**t)
         theta, bias = theta - step[:-1], bias - step[-1]
-    return Model(keys, theta, float(bias))
+        if l1 is not None:
+            theta = np.sign(theta) * np.maximum(np.abs(theta) - rate[:-1] * l1, 0)
+    return theta, float(bias)
+
+
+def fit_arrays(label: np.ndarray, lists: list[np.ndarray], fairness: float = FAIRNESS, terms: list[list[str]] = IDENTITY_TERMS, penalty: float = PENALTY) -> Model:
+    """Train on presence features; ``fairness`` weighs the counterfactual penalty, ``penalty`` the L1 one (terms that name groups are free of it)."""
+    if not len(label):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
+    rate = float(np.clip(label.mean(), 1e-3, 1 - 1e-3))
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    h = np.concatenate(lists).astype(np.uint64)
+    groups = swaps(terms)
+    # Terms that no row holds are features too: others are swapped for them.
+    keys, code = np.unique(np.concatenate([h, *groups]), return_inverse=True)
+    code = code[: len(h)]
+    n = np.bincount(code, minlength=len(keys))
+    named = np.isin(keys, np.concatenate(groups))
+    bound = np.where(named, 0, penalty * np.sqrt(n * rate * (1 - rate)))
+    theta, bias = np.zeros(len(keys)), float(np.log(rate / (1 - rate)))
+
+    def solved(active: np.ndarray, theta: np.ndarray, bias: float, l1: bool) -> tuple[np.ndarray, float]:
+        ids = np.flatnonzero(active)
+        place = np.full(len(keys), -1)
+        place[ids] = np.arange(len(ids))
+        mine = place[code] >= 0
+        r, c = row[mine], place[code[mine]]
+        out = np.zeros(len(keys))
+        out[ids], bias = _descend(label, r, c, theta[ids], bias, _swapped(keys[ids], r, c, groups), fairness, bound[ids] / len(label) if l1 else None)
+        return out, bias
+
+    active = named | (np.abs(np.bincount(code, label[row], len(keys)) - n * rate) > bound)
+    while True:
+        theta, bias = solved(active, theta, bias, True)
+        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, theta[code], len(label)), -40, 40)))
+        late = ~active & (np.abs(np.bincount(code, (p - label)[row], len(keys))) > 1.02 * bound)
+        if not late.any():
+            break
+        active |= late
+    active = named | (theta != 0)
+    theta, bias = solved(active, theta, bias, False)
+    kept = np.flatnonzero(theta)
+    return Model(keys[kept], theta[kept], bias)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = SAMPLE_ROWS) -> Model:
-    """Learn from labelled rows whose crc32(id) mod 5 is not 0."""
+    """Learn from labelled rows whose crc32(id) mod 5 is not 0; features are made where the texts lie, the fit is one task."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("id").isNotNull() & (crc_mod("id", 5) != 0))
     # The sample is bounded, so it may be broadcast; texts are never shuffled.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample(known, "id", most, 7)), "id")
-    t = presence(rows.select("label", "text"))
-    lists = [x.values.to_numpy() for x in t["words"]] if t.num_rows else []
-    return fit_arrays(t["label"].to_numpy().astype(float), [x.view(np.uint64) for x in lists])
+
+    def each(batches):
+        label, lists = [], []
+        for b in batches:
+            label.append(b.column(0).to_numpy())
+            lists += [x.values.to_numpy().view(np.uint64) for x in b.column(1)]
+        # An order that no partitioning changes, so that sums round alike.
+        label = np.concatenate(label).astype(float) if label else np.zeros(0)
+        order = np.lexsort(([int(x[0]) if len(x) else 0 for x in lists], [int(x.sum()) for x in lists], label)) if lists else []
+        m = fit_arrays(label[order] if lists else label, [lists[i] for i in order])
+        yield pa.RecordBatch.from_arrays([pa.array([m.keys.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.bias])], names=["keys", "weights", "bias"])
+
+    r = presence(rows.select("label", "text")).repartition(1).mapInArrow(each, "keys binary, weights binary, bias double").first()
+    return Model(np.frombuffer(r.keys, np.uint64), np.frombuffer(r.weights), r.bias) if r else fit_arrays(np.zeros(0), [])
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
