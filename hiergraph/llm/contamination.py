@@ -1,33 +1,42 @@
 """Operator 8 [native], benchmark decontamination by a positional inverted index.
 
-The index is partitioned by document: a posting is (document, position, term)
-and stands with its document's token list, so lists are intersected where the
-document lies and no posting list of a frequent term is ever gathered. Corpus
-counts of the test terms (all documents, partial counts before the shuffle)
-order each test window's terms; only postings of a window's rarest term are
-looked up, the offset-adjusted second and third rarest terms are intersected
-next, and the rest of the phrase is compared last. Everything is DataFrame
-functions inside code generation; there is no Python.
-
-The test side is broadcast only while it has at most MAX_BROADCAST windows
-(counted first); beyond that the same joins run shuffled.
+The index is stored once, as Parquet in the shared checkpoint folder: a posting is (th, term, did, pos), th the
+term's 64-bit hash, did a number of the document; each file holds the postings of some documents, sorted by term. So
+no posting list is ever gathered in one place and building it needs no shuffle. A mark, the posting at position 0,
+carries a document's id, text hash and number of words.
+
+Test windows are looked up list by list, rarest term first (by counts over the whole index):
+
+1. postings of each window's rarest term give places where it could start;
+2. the list of its second rarest term, offset-adjusted, is intersected with those;
+3. the lists of all its terms are, for the few places left, with the terms compared as text.
+
+Lookups are broadcast joins in blocks: at most WINDOWS_EACH windows, then at most DOCUMENTS_EACH document numbers at a
+time, each block limited to its range of term hashes or document numbers, which Parquet's statistics prune by. Any
+number of windows takes this one path, and only postings that a block wants are shuffled. Everything is DataFrame
+functions; there is no Python.
 
 Defined edge cases: null texts have no words; an item without words has no
 windows; an item of fewer than WINDOW words is one window; the same window in
 several items counts for each; a null item_id counts as ''; a null doc_id is
-kept; equal rows are answered as often as they stand there; an empty benchmark
+kept; equal rows are documents of their own; an empty benchmark
 hits nothing; an empty table gives an empty result; only the named columns are
 looked at.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents
+from .common import checkpointed, documents, remove, scratch
 
-WINDOW, MAX_BROADCAST = 10, 500_000
+WINDOW = 10
+#: What a block of a lookup holds at most: the bound of each broadcast.
+WINDOWS_EACH, DOCUMENTS_EACH = 100_000, 1_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands once before each text's words, so that every document has one posting.
 _MARK = "\x00"
@@ -50,82 +59,128 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", s
     return w.select("item", "w", at).select("item", "at", F.slice("w", F.col("at") + 1, F.lit(size)).alias("words"))
 
 
-def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, w): the token lists that postings point into; position 0 is a mark, the words follow from 1."""
+def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the postings of all texts to ``path`` and read them back; position 0 is a mark, words follow from 1."""
     text = F.col(f"`{text_col}`").cast("string")
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("key"), F.concat(F.array(F.lit(_MARK)), tokens(text)).alias("w"))
-
-
-def postings(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, key, w, pos, term, ...): the index's postings of ``terms`` (term, ...)."""
-    return index.select("id", "key", "w", F.posexplode("w").alias("pos", "term")).join(terms, "term")
-
-
-def _hint(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= MAX_BROADCAST else df
-
-
-def phrase_matches(docs: DataFrame, test: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, n_words, item, start, size): places of test windows (item, at, words), and one row with null item for each document."""
-    test = checkpointed(test.select("item", "words").distinct())
-    n = test.count()
-    index = indexed(docs, id_col, text_col)
-    terms = test.select(F.explode("words").alias("term")).distinct()
-    counts = postings(index, _hint(terms, 10 * n)).groupBy("term").count()
-    ranked = (
-        test.select("item", "words", F.posexplode("words").alias("o", "term"))
-        .join(_hint(counts, 10 * n), "term", "left")
-        .groupBy("item", "words")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "o", "term"))).alias("r"))
-    )
-    # A term that is in no document rules its window out at once.
-    ranked = ranked.filter(F.col("r")[0]["n"] > 0)
-    nth = lambda i, f: F.get("r", F.least(F.lit(i), F.size("r") - 1))[f]
-    keyed = ranked.groupBy(nth(0, "term").alias("term")).agg(F.collect_list(F.struct("item", "words", nth(0, "o").alias("o"), nth(1, "o").alias("o2"), nth(1, "term").alias("t2"), nth(2, "o").alias("o3"), nth(2, "term").alias("t3"))).alias("tests"))
-    mark = docs.sparkSession.range(1).select(F.lit(_MARK).alias("term"), F.array(F.lit(None).cast(keyed.schema["tests"].dataType.elementType)).alias("tests"))
-    keyed = checkpointed(keyed.unionByName(mark))
-    found = postings(index, _hint(keyed, n)).select("id", "key", "w", "pos", F.explode("tests").alias("t"))
-    start = F.col("pos") - F.col("t.o")
-    same = (start >= 1) & (F.get("w", start + F.col("t.o2")) == F.col("t.t2")) & (F.get("w", start + F.col("t.o3")) == F.col("t.t3")) & (F.slice("w", start + 1, F.size("t.words")) == F.col("t.words"))
-    return found.filter((F.col("pos") == 0) | same).select("id", "key", (F.size("w") - 1).cast("long").alias("n_words"), F.col("t.item").alias("item"), F.when(F.col("pos") > 0, start - 1).alias("start"), F.size("t.words").alias("size"))
-
-
-def proximity_matches(docs: DataFrame, pairs: DataFrame, within: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, a, b, pos_a, pos_b): places of word pairs (a, b) at most ``within`` words apart, nearest b for each a; the rarer
-    word's postings are looked up, the other is sought among the neighbours that stand with them."""
-    index = indexed(docs, id_col, text_col)
-    pairs = checkpointed(pairs.select("a", "b").distinct())
-    n = pairs.count()
-    both = pairs.select(F.explode(F.array("a", "b")).alias("term")).distinct()
-    counts = postings(index, _hint(both, 2 * n)).groupBy("term").count()
-    ca, cb = counts.select(F.col("term").alias("a"), F.col("count").alias("ca")), counts.select(F.col("term").alias("b"), F.col("count").alias("cb"))
-    sided = pairs.join(ca, "a").join(cb, "b").select("a", "b", (F.col("ca") <= F.col("cb")).alias("by_a"))
-    sided = sided.select("a", "b", "by_a", F.when(F.col("by_a"), F.col("a")).otherwise(F.col("b")).alias("term"), F.when(F.col("by_a"), F.col("b")).otherwise(F.col("a")).alias("other"))
-    p = postings(index, _hint(sided, n))
-    near = p.select("id", "key", "a", "b", "by_a", "pos", "other", F.greatest(F.col("pos") - within, F.lit(1)).alias("lo"), F.slice("w", F.greatest(F.col("pos") - within, F.lit(1)) + 1, F.lit(2 * within + 1)).alias("near"))
-    each = near.select("id", "key", "a", "b", "by_a", "pos", "lo", "other", F.posexplode("near").alias("i", "x")).filter("x = other AND lo + i <> pos AND abs(lo + i - pos) <= " + str(int(within)))
-    at = F.col("lo") + F.col("i")
-    placed = each.select("id", "key", "a", "b", F.when(F.col("by_a"), F.col("pos")).otherwise(at).alias("pa"), F.when(F.col("by_a"), at).otherwise(F.col("pos")).alias("pb"))
-    return placed.groupBy("id", "key", "a", "b", "pa").agg(F.min_by("pb", F.struct(F.abs(F.col("pb") - F.col("pa")), "pb")).alias("pb")).select("id", "key", "a", "b", (F.col("pa") - 1).alias("pos_a"), (F.col("pb") - 1).alias("pos_b"))
-
-
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, n_words, n_hit, n_items, items, contaminated, copies): one row for each id and text; copies: input rows of that kind."""
-    m = phrase_matches(docs, windows(items), id_col, text_col)
-    by = m.groupBy("id", "key").agg(
-        F.max("n_words").alias("n_words"),
-        F.count(F.when(F.col("item").isNull(), 1)).alias("copies"),
-        F.array_sort(F.collect_set(F.when(F.col("item").isNotNull(), F.struct("start", (F.col("start") + F.col("size")).alias("end"))))).alias("runs"),
-        F.array_sort(F.collect_set("item")).alias("items"),
+    w = docs.select(F.monotonically_increasing_id().alias("did"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("key"), F.concat(F.array(F.lit(_MARK)), tokens(text)).alias("w"))
+    flat = w.select("did", "id", "key", (F.size("w") - 1).cast("long").alias("n_words"), F.posexplode("w").alias("pos", "term"))
+    at_mark = F.col("pos") == 0
+    marked = [F.when(at_mark, F.col(c)).alias(c) for c in ("id", "key", "n_words")]
+    flat.select(F.xxhash64("term").alias("th"), "term", "did", "pos", *marked).sortWithinPartitions("th", "did", "pos").write.parquet(path)
+    return open_index(docs.sparkSession, path)
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def _blocks(keyed: DataFrame, most: int) -> list[DataFrame]:
+    """Rows (th, wid, ...) in blocks of about ``most``: by ranges of th, and where one range holds too many by a hash of wid."""
+    ranges = -(-keyed.count() // most)
+    if ranges <= 1:
+        return [keyed] * ranges
+    # The upper half of the hash, from 0, times the number of ranges: its own upper half is the range.
+    of = F.shiftright((F.shiftright("th", 32) + 2**31) * ranges, 32)
+    out = []
+    for k, n in sorted(tuple(r) for r in keyed.groupBy(of).count().collect()):
+        parts = -(-n // most)
+        out += [keyed.filter((of == k) & (F.pmod(F.xxhash64("wid"), F.lit(parts)) == i)) for i in range(parts)]
+    return out
+
+
+def _within(index: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The postings in the range of a bounded set of values; the two ends are one row."""
+    lo, hi = wanted.agg(F.min(column), F.max(column)).first()
+    return index.filter(F.col(column).between(F.lit(lo), F.lit(hi))) if lo is not None else index.filter("false")
+
+
+def _of_documents(index: DataFrame, wanted: DataFrame, most: int) -> list[tuple[DataFrame, DataFrame]]:
+    """(wanted, postings): blocks of wanted rows (did, ...) by ranges of did, each with all postings of its documents."""
+    number = -(-wanted.count() // most)
+    if not number:
+        return []
+    cuts = wanted.agg(F.percentile_approx("did", [i / number for i in range(1, number)], 10_000)).first()[0] if number > 1 else []
+    ends = sorted({-1, *cuts, 2**63 - 1})
+    out = []
+    for lo, hi in zip(ends, ends[1:], strict=False):
+        mine = wanted.filter((F.col("did") > lo) & (F.col("did") <= hi))
+        out.append((mine, _within(index, "did", mine).join(F.broadcast(mine.select("did").distinct()), "did", "left_semi")))  # at most about ``most`` numbers
+    return out
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, parts)
+
+
+def phrase_matches(index: DataFrame, test: DataFrame, windows_each: int = WINDOWS_EACH, documents_each: int = DOCUMENTS_EACH) -> DataFrame:
+    """(did, items, start, size): places of test windows (item, at, words); items holds all items of the window."""
+    words = checkpointed(test.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("wid", F.monotonically_increasing_id()))
+    counts = index.filter("pos > 0").groupBy("th").agg(F.count("*").alias("n"))
+    lists = words.select("wid", F.posexplode("words").alias("o", "term")).withColumn("th", F.xxhash64("term")).join(counts, "th", "left")
+    ranked = lists.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "th"))).alias("r"))
+    # A term that is in no document rules its window out at once. A window of one term has it as its second rarest, too.
+    second = F.get("r", F.least(F.lit(1), F.size("r") - 1))
+    keyed = checkpointed(ranked.filter(F.col("r")[0]["n"] > 0).select("wid", F.col("r")[0]["th"].alias("th"), F.col("r")[0]["o"].alias("o"), second["th"].alias("th2"), second["o"].alias("o2")))
+    found = []
+    for mine in _blocks(keyed, windows_each):
+        heads = F.broadcast(mine.groupBy("th").agg(F.collect_list(F.struct("wid", "o", "th2", "o2")).alias("t")))  # at most about windows_each entries
+        first = _within(index.filter("pos > 0"), "th", mine).join(heads, "th").select("did", "pos", F.explode("t").alias("t"))
+        first = first.select("did", (F.col("pos") - F.col("t.o")).alias("start"), "t.wid", F.col("t.th2").alias("th"), (F.col("pos") - F.col("t.o") + F.col("t.o2")).alias("pos")).filter("start >= 1")
+        seconds = index.filter("pos > 0").join(F.broadcast(mine.select(F.col("th2").alias("th")).distinct()), "th", "left_semi")  # as bounded
+        left = checkpointed(first.join(seconds.select("did", "pos", "th"), ["did", "pos", "th"]).select("did", "start", "wid"))
+        text = F.broadcast(words.join(F.broadcast(mine.select("wid")), "wid", "left_semi").select("wid", "items", "words"))  # as bounded
+        for some, all_of in _of_documents(index, left, documents_each):
+            asked = some.join(text, "wid").select("did", "start", "items", F.size("words").alias("size"), "wid", F.posexplode("words").alias("o", "term"))
+            asked = asked.withColumn("pos", F.col("start") + F.col("o"))
+            met = asked.join(all_of.select("did", "pos", "term"), ["did", "pos", "term"]).groupBy("did", "start", "wid").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("items").alias("items"))
+            found.append(checkpointed(met.filter("n = size").select("did", "items", (F.col("start") - 1).alias("start"), "size")))
+    return _union(found) if found else index.sparkSession.createDataFrame([], "did long, items array<string>, start int, size int")
+
+
+def proximity_matches(index: DataFrame, pairs: DataFrame, within: int = 8, pairs_each: int = WINDOWS_EACH) -> DataFrame:
+    """(did, a, b, pos_a, pos_b): for each place of a word a the nearest place of b at most ``within`` words off (the earlier of two
+    as near), of word pairs (a, b). The lists meet in cells of ``within`` words, so nothing longer than a cell is compared."""
+    pairs = checkpointed(pairs.select("a", "b").distinct().withColumns({"th": F.xxhash64("a"), "wid": F.xxhash64("a", "b")}))
+    found = []
+    for mine in _blocks(pairs, pairs_each):
+        mine = mine.select("a", "b")
+        cell = F.floor(F.col("pos") / within)
+        words = index.filter("pos > 0").select("did", "pos", "term")
+        left = words.join(F.broadcast(mine), words["term"] == mine["a"]).select("did", "a", "b", F.col("pos").alias("pa"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+        right = words.join(F.broadcast(mine.select("b").distinct()), F.col("term") == F.col("b")).select("did", "b", F.col("pos").alias("pb"), cell.alias("cell"))
+        near = left.join(right, ["did", "b", "cell"]).filter((F.abs(F.col("pa") - F.col("pb")) <= within) & (F.col("pa") != F.col("pb")))
+        best = near.groupBy("did", "a", "b", "pa").agg(F.min(F.struct(F.abs(F.col("pb") - F.col("pa")).alias("d"), "pb"))["pb"].alias("pb"))
+        found.append(best.select("did", "a", "b", (F.col("pa") - 1).alias("pos_a"), (F.col("pb") - 1).alias("pos_b")))
+    return _union(found) if found else index.sparkSession.createDataFrame([], "did long, a string, b string, pos_a int, pos_b int")
+
+
+def described(index: DataFrame) -> DataFrame:
+    """(did, id, key, n_words): the documents of an index."""
+    return index.filter(F.col("th") == F.xxhash64(F.lit(_MARK))).filter("pos = 0").select("did", "id", "key", "n_words")
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
+    """(doc_id, key, n_words, n_hit, n_items, items, contaminated): one row for each input row. The index is removed once the
+    result stands in the checkpoint folder."""
+    path = scratch(docs.sparkSession, f"postings-{uuid4()}")
+    index = build_index(docs, path, id_col, text_col)
+    m = phrase_matches(index, windows(items), **limits)
+    by = m.groupBy("did").agg(
+        F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("runs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
+    j = described(index).join(by, "did", "left")
+    none = F.array().cast("array<string>")
     # Length of the union of runs sorted by start.
-    hit = F.aggregate("runs", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0), r["end"] - F.greatest(r["start"], a["end"]))).alias("n"), F.greatest(a["end"], r["end"]).alias("end")))["n"].cast("long")
-    return by.select(F.col("id").alias("doc_id"), "key", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (hit > 0).alias("contaminated"), "copies")
+    hit = F.aggregate("runs", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0), r["end"] - F.greatest(r["start"], a["end"]))).alias("n"), F.greatest(a["end"], r["end"]).alias("end")))["n"]
+    hit = F.coalesce(hit, F.lit(0)).cast("long")
+    out = checkpointed(j.select(F.col("id").alias("doc_id"), "key", "n_words", hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items")).withColumn("contaminated", F.col("n_hit") > 0))
+    remove(docs.sparkSession, path)
+    return out
 
 
 def digest(found: DataFrame) -> DataFrame:
-    once = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return once.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: float = 0.0) -> DataFrame:

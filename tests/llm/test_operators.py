@@ -195,13 +195,51 @@ def test_language_held_out(spark):
 def test_lines_are_reversible(spark, tmp_path):
     a = spark.createDataFrame([(i, "A shared line of some length\nown line number %d of this text" % i) for i in range(5)], "doc_id long, text string")
     b = spark.createDataFrame([(9, "A shared line of some length\nanother")], "doc_id long, text string")
-    index = lines.LineIndex(spark, str(tmp_path), 4)
+    index = lines.LineIndex(spark, str(tmp_path / "index"), 4)
     index.insert(a)
-    before = sorted(map(tuple, index.counts().collect()))
+    before, kept = sorted(map(tuple, index.counts().collect())), sorted(map(tuple, index.dropped(a).collect()))
+    assert kept == sorted(map(tuple, lines.dedup_lines(a).collect()))
     index.insert(b)
-    assert sorted(map(tuple, index.counts().collect())) != before
-    index.delete(b)
-    assert sorted(map(tuple, index.counts().collect())) == before
+    assert sorted(map(tuple, index.counts().collect())) != before and sorted(map(tuple, index.dropped(a).collect())) != kept
+    again = lines.LineIndex(spark, str(tmp_path / "index"), 8)
+    assert (again.version, again.shards) == (2, 4)
+    again.delete(b)
+    again.delete(spark.createDataFrame([(77, "never seen before in this index")], "doc_id long, text string"))
+    assert sorted(map(tuple, again.counts().collect())) == before and sorted(map(tuple, again.dropped(a).collect())) == kept
+    again.delete(a)
+    assert again.counts().count() == 0
+    assert all(not any(r.filter) for r in again.state.filter("filter IS NOT NULL").collect())
+
+
+def test_shard_spares_searches_and_ends_empty():
+    """Keys that share fingerprints and buckets: every one gets a fingerprint, and all leave again."""
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 2**62, (6000, 2)), axis=0)
+    rows = np.column_stack([keys, np.zeros((len(keys), 1), np.int64), np.ones((len(keys), 2), np.int64)])
+    shard = lines.Shard()
+    shard.BLOCK = 500
+    shard.insert(rows)
+    assert shard.asked == len(keys) and shard.searched < 0.02 * len(keys)
+    fp, a, b = shard.filter._places(shard._hashes(keys))
+    twins = {}
+    for i, k in enumerate(zip(fp.tolist(), np.minimum(a, b).tolist(), strict=True)):
+        twins.setdefault(k, []).append(i)
+    # Plant collisions: keys whose hash differs but whose fingerprint and buckets are those of a key that is there.
+    h, planted = shard._hashes(keys), []
+    while len(planted) < 20:
+        x = rng.integers(0, 2**62, (400000, 2))
+        pf, pa_, pb = shard.filter._places(shard._hashes(x))
+        hit = [i for i, k in enumerate(zip(pf.tolist(), np.minimum(pa_, pb).tolist(), strict=True)) if k in twins]
+        planted += [x[i] for i in hit]
+    extra = np.array(planted)
+    more = np.column_stack([extra, np.zeros((len(extra), 1), np.int64), np.ones((len(extra), 2), np.int64)])
+    assert shard.filter.contains(shard._hashes(extra)).all()
+    shard.insert(more)
+    assert len(shard.table()) == len(rows) + len(more) and (shard.filter.table > 0).sum() == len(rows) + len(more)
+    shard.delete(rows)
+    assert shard.filter.contains(shard._hashes(extra)).all() and len(shard.table()) == len(more)
+    shard.delete(more)
+    assert not len(shard.table()) and not shard.filter.table.any()
 
 
 def test_cuckoo_filter():
@@ -221,43 +259,111 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in got]) > 0.97
 
 
-def test_counterfactual_penalty_evens_groups():
-    h = {w: toxicity.word_hash(w) for w in ("muslim", "christian", "vile", "fine")}
-    texts = [["muslim", "vile"]] * 40 + [["christian", "fine"]] * 40 + [["vile"]] * 10 + [["fine"]] * 10
-    label, lists = np.array([1.0 if "vile" in t else 0.0 for t in texts]), [np.unique(np.array([h[w] for w in t], np.uint64)) for t in texts]
+def said(texts):
+    data = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
 
-    def gap(fairness):
-        m = toxicity.fit_arrays(label, lists, fairness)
-        w = dict(zip(m.keys.tolist(), m.weights, strict=True))
-        return abs(w[h["muslim"]] - w[h["christian"]])
 
-    assert gap(50.0) < 0.5 * gap(0.0)
+def fitted(texts, label, **how):
+    row, h = toxicity.features(*said(texts))
+    return toxicity.fit_arrays(np.array(label, float), [np.unique(h[row == i]) for i in range(len(texts))], **how)
 
 
 def test_counterfactual_penalty_on_sentences():
     """Whole sentences through features(): no beginning of a term keeps what the penalty takes from the term."""
-
-    def said(texts):
-        data = [t.encode() for t in texts]
-        return np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
-
-    texts = ["these immigrants are vile"] * 40 + ["these natives are fine"] * 40 + ["they are vile"] * 10 + ["they are fine"] * 10
-    row, h = toxicity.features(*said(texts))
-    lists, label = [np.unique(h[row == i]) for i in range(len(texts))], np.array([float("vile" in t) for t in texts])
-
-    def gap(fairness):
-        s = toxicity.fit_arrays(label, lists, fairness).scores(*said([f"some {t} came home" for t in ("immigrants", "natives", "refugees")]))
-        return np.ptp(s)
-
-    assert gap(50.0) < 0.5 * gap(0.0)
+    for one, other, rest in (("immigrants", "natives", "refugees"), ("muslim", "christian", "jewish")):
+        texts = [f"these {one} are vile"] * 40 + [f"these {other} are fine"] * 40 + ["they are vile"] * 10 + ["they are fine"] * 10
+        label = ["vile" in t for t in texts]
+        asked = said([f"some {t} came home" for t in (one, other, rest)])
+        assert np.ptp(fitted(texts, label).scores(*asked)) < 0.05 < np.ptp(fitted(texts, label, fairness=0.0).scores(*asked))
+        assert ((fitted(texts, label).scores(*said(texts)) >= 0.5) == label).all()
     assert set(toxicity.features(*said(["muslim"]))[1].tolist()) == {toxicity.word_hash("muslim")}
-    assert toxicity.word_hash("refugees") in toxicity.fit_arrays(label, lists).keys
 
 
-def test_proximity(spark):
-    d = spark.createDataFrame([(1, "red x x blue red"), (2, "red a b c d e f g h i j k blue")], "doc_id long, text string")
-    got = contamination.proximity_matches(d, spark.createDataFrame([("red", "blue")], "a string, b string"), 4).collect()
-    assert {(r.id, r.pos_a, r.pos_b) for r in got} <= {(1, 0, 3), (1, 4, 3)} and got
+def test_toxicity_odd_rows_with_a_model(spark, odd, nothing):
+    """Nulls in ids, texts and labels, repeated rows, other columns of any name; the fit runs on executors."""
+    labels = spark.createDataFrame([(i % 7, int(i % 7 == 3), "x") for i in range(14)] + [(None, 1, "x"), (2, None, "x")], "doc_id long, toxic int, text string")
+    m = toxicity.fit(odd, labels)
+    got = toxicity.score(odd, m).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert toxicity.keep_clean(odd, m).columns == odd.columns and toxicity.score(nothing, m).count() == 0
+    assert toxicity.fit(nothing, labels).bias == -40.0 == toxicity.fit(odd, labels.limit(0)).bias
+
+
+def test_language_odd_rows_with_a_model(spark, odd, nothing):
+    train = spark.createDataFrame([(1, "the cat sat", "en"), (2, "le chat noir", "fr"), (3, None, "en"), (4, "x", None), (None, "der hund", "de")], "doc_id long, text string, lang string")
+    m = language.fit(train)
+    got = {r.doc_id: r for r in language.predict(odd, m).collect()}
+    assert m.langs == ["de", "en", "fr"] and got[1].lang_pred == "und" and got[2].score == 0.0 and got[3].lang_pred in m.langs
+    assert language.predict(nothing, m).count() == 0 and language.fit(train.limit(0)).langs == []
+
+
+def test_language_against_brute_force(spark):
+    """Word log frequencies, then the longest known n-grams, by plain dictionaries."""
+    train = [(1, "the cat sat on the mat", "en"), (2, "le chat est sur la table", "fr"), (3, "a cat and a dog", "en"), (4, "une table noire", "fr")]
+    m = language.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    langs = ["en", "fr"]
+
+    def grams(w, n):
+        w = w if n == 1 else f" {w} "
+        return [w[i : i + n] for i in range(len(w) - n + 1)]
+
+    tables = [Counter() for _ in range(6)]
+    for _, t, lang in train:
+        for w in t.split():
+            tables[0][w, lang] += 1
+            for n in range(1, 6):
+                for g in grams(w, n):
+                    tables[n][g, lang] += 1
+
+    def logs(n, x, lang):
+        size, total = len({k for k, _ in tables[n]}), sum(v for (_, k), v in tables[n].items() if k == lang)
+        return np.log((tables[n][x, lang] + 0.5) / (total + 0.5 * (size + 1)))
+
+    def evidence(w):
+        known = [{k for k, _ in t} for t in tables]
+        if w in known[0]:
+            return [logs(0, w, x) for x in langs]
+        for n in range(5, 0, -1):
+            hit = [g for g in grams(w, n) if g in known[n]]
+            if hit:
+                return [np.mean([logs(n, g, x) for g in hit]) for x in langs]
+        return [0.0, 0.0]
+
+    for text in ("the chat", "catalogue", "noir zebra table", "qqq"):
+        want = np.sum([evidence(w) for w in text.split()], 0)
+        assert np.allclose(m.scores(*said([text]))[0], want, atol=1e-4), text
+
+
+def test_proximity(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("red blue a b c d e f g h".split()) for _ in range(rng.randrange(60))) for _ in range(40)] + [None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = contamination.build_index(d, str(tmp_path / "index"))
+    names = {r.did: r.id for r in contamination.described(index).collect()}
+    asked = [("red", "blue"), ("a", "b"), ("a", "a"), ("red", "none")]
+    for each in (1, 100):
+        got = Counter((names[r.did], r.a, r.b, r.pos_a, r.pos_b) for r in contamination.proximity_matches(index, spark.createDataFrame(asked, "a string, b string"), 4, each).collect())
+        want = Counter()
+        for i, t in enumerate(texts):
+            w = (t or "").split()
+            for a, b in asked:
+                for p in (k for k, x in enumerate(w) if x == a):
+                    near = [(abs(q - p), q) for q, x in enumerate(w) if x == b and q != p and abs(q - p) <= 4]
+                    if near:
+                        want[i, a, b, p, min(near)[1]] += 1
+        assert got == want
+
+
+def test_decontamination_in_blocks(spark, small, docs):
+    """Small blocks of windows and documents give the rows of one block; repeated rows, short items and ties included."""
+    d = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionAll(spark.createDataFrame([(1, "a b a b a"), (1, "a b a b a"), (None, "a"), (5, None)], "doc_id long, text string"))
+    items = spark.read.parquet(f"{small}/benchmark.parquet").selectExpr("cast(item_id as string) item_id", "text").unionAll(spark.createDataFrame([("x", "a b a"), ("y", "a"), (None, "a b a"), ("z", ""), ("u", "zebra not there")], "item_id string, text string"))
+    say = lambda f: Counter(str(r) for r in contamination.digest(f).collect())
+    one = say(contamination.contamination(d, items))
+    assert one == say(contamination.contamination(d, items, windows_each=3000, documents_each=20))
+    got = [r for r in contamination.contamination(d, items).collect() if r.n_words == 5 and r.n_hit]
+    assert [(r.n_hit, r["items"]) for r in got] == [(5, ["", "x", "y"])] * 2
 
 
 def test_mixing_rates(spark):
