@@ -69,6 +69,14 @@ def test_media_round_trip_and_damage():
     assert media.read_container(b"noise" + m).pages == media.read_container(m).pages
 
 
+def test_media_errors_are_rows(spark):
+    good = media.encode(bytes(range(64)))
+    d = spark.createDataFrame([(1, 64, bytearray(good)), (2, 0, None), (3, 0, bytearray(b"OggS" * 5000)), (4, 0, bytearray(good[:-9])), (None, 0, bytearray(b""))], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.read_media(d).collect()}
+    assert got[1].error is None and got[1].payload_bytes == 64 and got[1].feature.startswith("streams=2;pages=3;packets=3")
+    assert all(got[i].error and got[i].payload_sha256 is None for i in (2, 3, 4, None)) and got[2].media_bytes is None
+
+
 def test_media_crc_by_bits():
     def crc(data):
         r = 0
@@ -86,6 +94,11 @@ def test_media_digests(spark, small, docs):
         b = dict(docs)[r.doc_id].encode()
         p = b + bytes(-len(b) % 64 or (0 if b else 64))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        m = media.encode(p)
+        blocks = [len(p[i : i + media.PACKET]) for i in range(0, len(p), media.PACKET)]
+        ms = [round(1000 * sum(blocks[t :: media.TRACKS]) / media.RATE) for t in range(media.TRACKS)]
+        assert (r.media_bytes, r.media_sha256, r.error) == (len(m), hashlib.sha256(m).hexdigest(), None)
+        assert f"packets={len(blocks) + media.TRACKS};ms={ms[0]},{ms[1]};mean={np.frombuffer(p, np.uint8).mean():.4f}" in r.feature
 
 
 def test_licenses(spark, small, docs):
@@ -97,6 +110,47 @@ def test_licenses(spark, small, docs):
     t = licenses.TEMPLATES["bsd"][0].split()
     df = spark.createDataFrame([(1, "x y " + " ".join([*t[:9], "inserted", "words", *t[9:]]) + " z"), (2, "redistribution and use of bicycles")], "doc_id long, text string")
     assert [(r.doc_id, r.labels) for r in licenses.scan(df).orderBy("doc_id").collect()] == [(1, "bsd"), (2, "")]
+    kin = [(k, licenses.TEMPLATES[label][0]) for k, label in enumerate(("gpl", "lgpl", "cc-by", "cc-by-sa"))]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(kin, "doc_id long, text string")).collect()}
+    assert got == {0: "gpl", 1: "lgpl", 2: "cc-by", 3: "cc-by-sa"}
+
+
+def test_license_votes_against_brute_force(spark, small, docs):
+    """Diagonals, merging, cover and the best of overlapping spans by plain loops over all texts and some made ones."""
+    rng, low = random.Random(2), lambda t: WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    parts = [low(t) for texts in licenses.TEMPLATES.values() for t in texts]
+    made = []
+    for i in range(60):
+        w = [f"x{rng.randrange(50)}" for _ in range(10)]
+        for _ in range(rng.randrange(1, 4)):
+            t = list(rng.choice(parts))
+            for _ in range(rng.randrange(3)):
+                t[rng.randrange(len(t)) : rng.randrange(len(t) + 1)] = ["z"] * rng.randrange(4)
+            w += t + ["y"] * rng.randrange(9)
+        made.append((10**6 + i, " ".join(w)))
+    k, gap, want = licenses.K, licenses.GAP, {}
+    for i, t in docs + made:
+        w, spans = low(t), []
+        for label, texts in licenses.TEMPLATES.items():
+            for v in map(low, texts):
+                at = {}
+                for p in range(len(v) - k + 1):
+                    at.setdefault(tuple(v[p : p + k]), []).append(p)
+                hits = sorted((q - p, q, p) for q in range(len(w) - k + 1) for p in at.get(tuple(w[q : q + k]), []))
+                for n, (d, q, p) in enumerate(hits):
+                    if not n or d - hits[n - 1][0] > gap:
+                        spans.append([label, q, q, set(), len(v)])
+                    s = spans[-1]
+                    s[1], s[2] = min(s[1], q), max(s[2], q)
+                    s[3] |= set(range(p, p + k))
+        spans = [(s[0], s[1], s[2] + k, (len(s[3]), len(s[3]) / s[4])) for s in spans if len(s[3]) >= licenses.MIN_COVER * s[4] or len(s[3]) >= 4 * k]
+        beaten = lambda x, y: x[0] != y[0] and y[3] > x[3] and 2 * (min(x[2], y[2]) - max(x[1], y[1])) >= min(x[2] - x[1], y[2] - y[1])
+        want[i] = sorted(x[:3] for x in spans if not any(beaten(x, y) for y in spans))
+    df = spark.createDataFrame(docs + made, "id long, text string").selectExpr("id", "xxhash64(text) key", "text")
+    got = {i: [] for i in want}
+    for r in licenses.license_spans(df).collect():
+        got[r.id].append((r.label, r.start, r.end))
+    assert {i: sorted(x) for i, x in got.items()} == want and sum(map(len, want.values())) > 60
 
 
 def test_near_against_brute_force(spark, small, docs):
@@ -378,9 +432,27 @@ def test_mixing_large_means(spark):
     n = [r.replicas for r in mixing.mix_sources(d).filter("source = 'a' AND replica = 0").collect()]
     assert len(n) == 40 and abs(np.mean(n) - 2000) < 5 * (2000 / 40) ** 0.5 and 20 < np.std(n) < 70
     for mean in (0.3, 5.0, 90.0):
-        p = np.cumsum([np.exp(-mean) * np.prod(mean / np.arange(1, k + 1)) for k in range(150)])
-        got = np.array(mixing.poisson_cdf(mean))[:150]
-        assert abs(got - p[: len(got)]).max() < 1e-12 and mixing.poisson_cdf(mean)[-1] == 1.0
+        p = np.cumsum([np.exp(-mean) * np.prod(mean / np.arange(1, k + 1)) for k in range(260)])
+        low, got = mixing.poisson_table(mean)
+        assert abs(got - p[low : low + len(got)]).max() < 1e-12 and got[-1] == 1.0
+    for mean in (800.0, 5000.0, 1e8):
+        low, got = mixing.poisson_table(mean)
+        k, p = np.arange(low, low + len(got)), np.diff(np.append(0, got))
+        assert abs((k * p).sum() / mean - 1) < 1e-6 and abs((k * k * p).sum() - (k * p).sum() ** 2 - mean) < 0.01 * mean
+
+
+def test_mixing_odd_rows(spark, odd, nothing):
+    """Null ids, texts and sources, repeated rows, names of new columns in the input, an empty table."""
+    d = odd.select("doc_id", "text", odd["hash"].alias("source"), odd["pid"].alias("rate"), odd["id"].alias("replica"), odd["key"].alias("Shuffle_key"), odd["term"].alias("replicas"))
+    got = mixing.mix_sources(d, size=900.0)
+    assert got.columns == [*d.columns, "mix_rate", "mix_replicas", "mix_replica", "mix_shuffle_key"]
+    rows = got.collect()
+    assert 700 < len(rows) < 1100 and {r.doc_id for r in rows} == {i for i, _ in ODD} and {r.rate for r in rows} == {"b"}
+    n = Counter((r.doc_id, r.text) for r in rows)
+    assert all(n[r.doc_id, r.text] == r.mix_replicas * ODD.count((r.doc_id, r.text)) for r in rows)
+    empty = nothing.withColumn("source", nothing["hash"])
+    assert mixing.mix_sources(empty).count() == 0 and mixing.mix_sources(d, {"absent": 1.0}).count() == 0
+    assert mixing.mix_sources(d.withColumn("source", mixing.F.lit(None)), {"": 1.0}, 90.0).count() > 0
 
 
 def luhn(x):
@@ -404,11 +476,48 @@ def test_pii_base(spark, docs):
         assert got[i].base_sha256 == hashlib.sha256(spans.encode()).hexdigest(), t[:80]
 
 
+def brute_terms(rows, alpha=0.8, prior=1.0):
+    """{(id, text): sorted term spans} by plain sets; rows (id, text)."""
+    docs = {(i, t or "") for i, t in rows}
+    ents = {d: {f"{k}:{m.group().lower()}" for k, p, ok in PATTERNS for m in re.finditer(p, d[1]) if ok(m.group(), re.sub("[^0-9]", "", m.group()))} for d in docs}
+    base = {d: [m.span() for k, p, ok in PATTERNS for m in re.finditer(p, d[1]) if ok(m.group(), re.sub("[^0-9]", "", m.group()))] for d in docs}
+    low = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t)
+    words = {d: set(WORD.findall(low(d[1]))) for d in docs}
+    n, n_t, n_c = len(docs), Counter(w for d in docs for w in words[d]), Counter(c for d in docs for c in ents[d])
+    n_tc = Counter((t, c) for d in docs if ents[d] for t in words[d] for c in ents[d])
+    told = {(t, c) for (t, c), x in n_tc.items() if (pmi := np.log((x + prior * n_c[c] / n) / (n_t[t] + prior) * n / n_c[c])) > 0 and pmi >= alpha * np.log(n / n_c[c])}
+    out = {}
+    for d in docs:
+        terms = {t for t, c in told if c in ents[d] and t in words[d]}
+        spans = [m.span() for m in WORD.finditer(low(d[1])) if m.group() in terms]
+        out[d] = [x for x in spans if not any(y[0] < x[1] and x[0] < y[1] for y in base[d])]
+    return out
+
+
+@pytest.mark.parametrize("frequent", [1000, 10**9])
+def test_pii_terms_against_brute_force(spark, docs, frequent, monkeypatch):
+    """Repeated rows, an entity and terms in many documents, places far from the entity; hot keys by either way."""
+    monkeypatch.setattr(pii, "FREQUENT", frequent)
+    rng = random.Random(10)
+    rows = docs + [(10**6 + i, f"Zorblax {'far ' * 40} away, write to jo{i % 30}@x.org or +33 1 23 45 67 {i % 7}0, zorblax{i % 9}") for i in range(120)]
+    rows += [(2 * 10**6 + i, " ".join(rng.choice(["write", "to", "away", "plain", f"w{i}", "zorblax1"]) for _ in range(12))) for i in range(150)] + [rows[3], rows[-1], (None, "só é a@b.org aqui"), (None, "só é a@b.org aqui"), (9, None)]
+    want = brute_terms(rows)
+    got = pii.all_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and sum(map(len, want.values())) > 100
+    by = {}
+    for i, t in rows:
+        by.setdefault(i, []).append(want[i, t or ""])
+    seen = {}
+    for r in got:
+        seen.setdefault(r.id, []).append([(t.start, t.end) for t in r.terms])
+    assert {i: sorted(x) for i, x in seen.items()} == {i: sorted(x) for i, x in by.items()}
+
+
 def test_pii_terms_and_text(spark):
-    t = [(i, "write to zorblax jo@x.org now" if i < 4 else f"plain words now to write {i}") for i in range(40)]
+    t = [(i, "write to zorblax, who is at jo@x.org now; Zorblax") if i < 4 else (i, f"plain words now to write {i} who is at") for i in range(40)]
     df = spark.createDataFrame(t, "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
-    assert got[0] == "write to [term] [email] now" and got[9] == t[9][1]
+    assert got[0] == "write to [term], who is at [email] now; [term]" and got[9] == t[9][1]
 
 
 def test_pipeline(spark, small):
