@@ -5,8 +5,10 @@ template table is fixed in this module, a few hundred rows) to the positions
 that hash has in license templates. A hit votes for its diagonal, text position
 minus template position; votes are counted by (text, template, diagonal) before
 anything is gathered, diagonals at most GAP apart are merged (an insertion or
-deletion of up to GAP words), and a merged span is verified: the share of the
-template's words that lie under matched K-grams must reach MIN_COVER.
+deletion of up to GAP words), and a merged span is verified by the words that align along its diagonals:
+they must be the share MIN_COVER of the template's words, or 4 K words of a long template. Where spans of
+two labels overlap by half of the shorter one, the one with more aligned words stays, of equally many the one
+with the shorter template (equal ones both), so the words that tell a license from its kin decide.
 
 Words are runs of digits, ASCII letters (lower-cased) and non-ASCII characters.
 
@@ -33,16 +35,17 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 
 #: Notices of public licenses (the wording that identifies each).
 TEMPLATES = {
-    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"],
     "apache": ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", "licensed under the Apache License"],
     "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "released under the GNU General Public License"],
     "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-sa": ["This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"],
-    "unlicense": ["This is free and unencumbered software released into the public domain"],
+    "unlicense": ["This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
+    "zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
 }
 
 
@@ -96,13 +99,22 @@ def license_spans(keyed: DataFrame, templates: dict[str, list[str]] | None = Non
     marked = votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal", 1).over(w) > gap).cast("int")).withColumn("span", F.sum(F.coalesce("new", F.lit(0))).over(w))
     merged = marked.groupBy("id", "key", "template", "span").agg(F.min("lo").alias("start"), (F.max("hi") + k).alias("end"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda t: F.sequence(t, t + (k - 1))))))
-    return (
+    spans = (
         merged.join(F.broadcast(sizes), "template")
-        .withColumn("cover", F.least(F.lit(1.0), covered / F.col("n_template")))
-        .filter((F.col("cover") >= min_cover) | (covered >= 4 * k))
-        .select("id", "key", "label", "start", "end", "cover")
+        .withColumn("covered", covered)
+        .withColumn("cover", F.least(F.lit(1.0), F.col("covered") / F.col("n_template")))
+        .filter((F.col("cover") >= min_cover) | (F.col("covered") >= 4 * k))
+        .groupBy("id", "key")
+        .agg(F.collect_list(F.struct("label", "start", "end", "cover", "covered")).alias("s"))
     )
 
+    def beaten(x, y):
+        common = F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"])
+        return (x["label"] != y["label"]) & ((y["covered"] > x["covered"]) | (y["covered"] == x["covered"]) & (y["cover"] > x["cover"])) & (2 * common >= F.least(x["end"] - x["start"], y["end"] - y["start"]))
+
+    best = F.filter("s", lambda x: ~F.exists("s", lambda y: beaten(x, y)))
+    return spans.select("id", "key", F.explode(best).alias("x")).select("id", "key", "x.label", "x.start", "x.end", "x.cover")
+
 
 _BASE = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base", pa.list_(pa.string()))])
 
