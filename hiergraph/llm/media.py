@@ -7,7 +7,8 @@ the last packet that ends on the page follows.
 
 Defined edge cases: a null text is the empty text; an empty payload is padded to
 64 zero bytes; texts of any length work (packets continue over pages); equal
-texts give equal values; repeated rows are answered row by row; an empty table
+texts give equal values; repeated rows are answered row by row; stored bytes that are null, damaged or no
+container have a reason in ``error`` and nulls in what is read from them; an empty table
 gives an empty result; other columns of the input are never looked at.
 """
 
@@ -170,7 +171,7 @@ def decode(media: bytes) -> tuple[bytes, str]:
 
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-_READ = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_READ = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())])
 
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,17 +187,21 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """Read stored containers back and digest them (null media: an error, it is no container)."""
+    """Read stored containers (doc_id, n_bytes, media) back and digest them; ``error`` is null where all went well."""
 
     def each(batches):
         for b in batches:
             out = []
             for media in b.column(2).to_pylist():
-                payload, feature = decode(media)
-                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[i] for r in out], _READ.field(i + 2).type) for i in range(6))], schema=_READ)
-
-    return stored.mapInArrow(each, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+                stored_as = (None, None) if media is None else (len(media), hashlib.sha256(media).hexdigest())
+                try:
+                    payload, feature = decode(media)
+                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *stored_as, feature, None))
+                except (ValueError, struct.error) as e:
+                    out.append((None, None, None, *stored_as, None, str(e)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[i] for r in out], _READ.field(i + 2).type) for i in range(7))], schema=_READ)
+
+    return stored.mapInArrow(each, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 def demux(df: DataFrame, media_col: str = "media", id_col: str = "media_id") -> DataFrame:
