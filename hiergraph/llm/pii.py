@@ -1,35 +1,41 @@
 r"""Operator 10 [native], information-theoretic sanitisation of personal data.
 
 Base spans (email, ip, card, phone) come from patterns and checks. They are the
-protected entities. Words that stand whole within CONTEXT code points of an
-entity are candidates; over the whole corpus, with n(x) the documents that hold
-x, a term t discloses an entity c when
+protected entities. Every word of a document that holds an entity is a candidate; over the whole corpus,
+with N documents, n(x) of which hold x and n(t, c) both, a term t discloses an entity c when
 
-    PMI(t; c) = log(N n(t, c) / (n(t) n(c))) >= ALPHA * IC(c),  IC(c) = log(N / n(c)),
+    PMI(t; c) = log(p(c | t) N / n(c)) >= ALPHA * IC(c),  IC(c) = log(N / n(c)),
+    p(c | t) = (n(t, c) + PRIOR n(c) / N) / (n(t) + PRIOR),
 
-and at least MIN_TOGETHER documents hold both near each other (fewer are no
-estimate). Disclosing terms become spans of kind `term`; sanitising replaces base
-spans by their kind and generalises terms (a number to [number], other words to
+the share of the term's documents that hold the entity, drawn towards its share of the corpus, so that few
+documents are weak evidence. All places of a disclosing term in the entity's documents become spans of kind `term`;
+sanitising replaces base spans by their kind and generalises terms (a number to [number], other words to
 [term]). Everything is DataFrame functions; there is no Python.
 
+As n(t, c) is at most n(c), a term in more than n(c)^ALPHA N^(1-ALPHA) (1 + PRIOR / N) documents cannot disclose c: rare
+terms alone are joined to rare entities. Keys that more than a FREQUENT-th of all documents hold (at most FREQUENT times
+what a document holds in the mean) are joined by broadcast, so no hot key is shuffled.
+
 Matching is leftmost and non-overlapping per kind; a match that fails its check
 is dropped without a retry. Positions are code points, ends exclusive.
 
 Defined edge cases: null text is the empty text and has no spans; a null id is
 kept; equal rows (id and text) are answered as often as they stand there and
-count as one document; term spans that touch a base span are dropped; an empty
+count as one document everywhere; term spans that touch a base span are dropped; an empty
 table gives an empty result; only the named columns are looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents
+from .common import checkpointed, documents, scratch
 from .contamination import lowered, tokens
 
-CONTEXT, ALPHA, MIN_TOGETHER = 48, 0.8, 2
+ALPHA, PRIOR, FREQUENT = 0.8, 1.0, 1000
 KINDS = ("email", "ip", "card", "phone")
 
 # The contract's patterns, with anchors that stop a run of characters from being tried at each of its characters; a run
@@ -83,10 +89,15 @@ def placed(text: Column, matches: Column, pattern: str) -> Column:
     return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, go)["out"]).otherwise(zero["out"])
 
 
+def _document(id_col: str, text_col: str) -> tuple[Column, Column]:
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("\x00")).alias("who"), F.xxhash64(text).alias("key")
+
+
 def base_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, key, text, email, ip, card, phone): spans by kind, array<struct<start, end, m>>."""
+    """(id, who, key, text, email, ip, card, phone): spans by kind, array<struct<start, end, m>>; (who, key) tells documents apart."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), *_document(id_col, text_col), text.alias("text"))
     t, none = F.col("text"), F.array().cast("array<string>")
     found = rows.select(
         "*",
@@ -96,65 +107,82 @@ def base_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.when(F.contains(t, F.lit("+")), F.regexp_extract_all(t, F.lit(_PHONE), F.lit(0))).otherwise(none).alias("m_phone"),
     )
     patterns = dict(zip(KINDS, (_EMAIL, _IP, _CARD, _PHONE), strict=True))
-    return found.select("id", "key", "text", *(_passing(k, placed(t, F.col(f"m_{k}"), p)).alias(k) for k, p in patterns.items()))
+    return found.select("id", "who", "key", "text", *(_passing(k, placed(t, F.col(f"m_{k}"), p)).alias(k) for k, p in patterns.items()))
 
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def _near(text: Column, start: Column, end: Column, context: int) -> Column:
-    """Whole words (lower-cased) within ``context`` code points on either side of a span."""
-    lo = F.greatest(start - context - 1, F.lit(0))
-    left, right = F.substring(text, lo + 1, start - lo), F.substring(text, end + 1, F.lit(context + 1))
-
-    def words(side: Column, at: Column) -> Column:
-        s = lowered(side)
-        found = placed(s, F.regexp_extract_all(s, F.lit(_WORD), F.lit(0)), _WORD)
-        return F.transform(found, lambda x: F.struct((x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["m"].alias("m")))
-
-    whole_left = F.filter(words(left, lo), lambda x: ((x["start"] > lo) | (lo == 0)) & (x["end"] <= start))
-    whole_right = F.filter(words(right, end), lambda x: x["end"] <= end + context)
-    return F.concat(whole_left, whole_right)
-
-
-def entities(base: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """(id, key, entity, near): one row for each base span."""
-    def tag(kind: str) -> Column:
-        return F.transform(F.col(kind), lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m")))
-
-    tagged = F.concat(*map(tag, KINDS))
-    e = base.withColumn("e", F.explode(tagged))
-    return e.select("id", "key", F.concat("e.kind", F.lit(":"), F.lower("e.m")).alias("entity"), _near(F.col("text"), F.col("e.start"), F.col("e.end"), context).alias("near"))
-
-
-def disclosing(df: DataFrame, base: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, together: int = MIN_TOGETHER, context: int = CONTEXT) -> DataFrame:
-    """(id, key, start, end, term, entity, pmi): places of terms whose corpus co-occurrence with an entity near them exceeds the threshold."""
-    ctx = checkpointed(entities(base, context).select("id", "key", "entity", F.explode("near").alias("t")).select("id", "key", "entity", F.col("t.m").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")))
-    doc = F.struct(F.coalesce(F.col("id").cast("string"), F.lit("")), "key")
-    pair = ctx.groupBy("entity", "term").agg(F.count_distinct(doc).alias("n_tc")).filter(F.col("n_tc") >= together)
-    n_c = ctx.groupBy("entity").agg(F.count_distinct(doc).alias("n_c"))
-    # A document's words count once; partial counts by term are made before the shuffle.
-    seen = df.select(F.explode(F.array_distinct(tokens(F.col(f"`{text_col}`").cast("string")))).alias("term"))
-    wanted = pair.select("term").distinct()
-    n_t = seen.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
-    n = df.agg(F.count("*").alias("n_docs"))
-    pmi = F.log(F.col("n_docs") * F.col("n_tc") / (F.col("n_t") * F.col("n_c")))
-    told = (
-        pair.join(n_c, "entity").join(n_t, "term").join(F.broadcast(n))  # one row
-        .withColumn("pmi", pmi)
-        .filter((F.col("pmi") > 0) & (F.col("pmi") >= alpha * F.log(F.col("n_docs") / F.col("n_c"))))
-        .select("entity", "term", "pmi")
-    )
-    return ctx.join(told, ["entity", "term"]).select("id", "key", "start", "end", "term", "entity", "pmi")
+def _entities() -> Column:
+    """Distinct kind:text of all base spans of a row."""
+    return F.array_distinct(F.concat(*(F.transform(F.col(k), lambda x, k=k: F.concat(F.lit(f"{k}:"), F.lower(x["m"]))) for k in KINDS)))
+
+
+def _counted(rows: DataFrame, counts: DataFrame, key: list[str], n: str, frequent: float, most: float | None = None) -> DataFrame:
+    """``rows`` with their counts (key, n, ...), those above ``most`` left out; frequent keys are few and broadcast."""
+    hot = counts.filter(F.col(n) > frequent)
+    rest, often = counts.filter(F.col(n) <= frequent), hot
+    if most is not None:
+        rest, often = rest.filter(F.col(n) <= most), hot.filter(F.col(n) <= most)
+    return rows.join(F.broadcast(often), key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key))
+
+
+def term_counts(df: DataFrame, stored: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, n_t): documents that hold each word. Counted by rows, less what repeated rows add, so only those are told apart by id."""
+    text = F.col(f"`{text_col}`").cast("string")
+    each = F.explode(F.array_distinct(tokens(text))).alias("term")
+    path = scratch(df.sparkSession, f"repeated-{uuid4()}")
+    # Written, so that Catalyst knows how small it is.
+    stored.groupBy("who", "key").agg((F.count("*") - 1).alias("more")).filter("more > 0").write.parquet(path)
+    again = df.sparkSession.read.parquet(path)
+    twice = df.select(*_document(id_col, text_col), text.alias("__text")).join(again, ["who", "key"]).dropDuplicates(["who", "key"])
+    less = twice.select(F.explode(F.array_distinct(tokens(F.col("__text")))).alias("term"), (-F.col("more")).alias("n"))
+    counted = df.select(each).groupBy("term").agg(F.count("*").alias("n")).unionByName(less.groupBy("term").agg(F.sum("n").alias("n")))
+    return counted.groupBy("term").agg(F.sum("n").alias("n_t"))
+
+
+def disclosing(df: DataFrame, stored: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, prior: float = PRIOR) -> DataFrame:
+    """(who, key, entity, term, pmi): terms that disclose an entity of their document, of ``stored`` base spans with the texts of documents that have any."""
+    holders = stored.filter(F.size(_entities()) > 0).dropDuplicates(["who", "key"])
+    n, = stored.agg(F.count_distinct("who", "key")).first()
+    held = holders.select("who", "key", F.explode(_entities()).alias("entity"))
+    n_c = checkpointed(held.groupBy("entity").agg(F.count("*").alias("n_c")))
+    top = n_c.agg(F.max("n_c")).first()[0] or 0
+    frequent = max(100.0, n / FREQUENT)
+    limit = lambda c: c**alpha * max(n, 1) ** (1 - alpha) * (1 + prior / max(n, 1)) - prior + 1e-6
+    n_t = checkpointed(term_counts(df, stored, id_col, text_col).filter((F.col("n_t") <= limit(top)) | (F.col("n_t") > frequent)))
+    # Words that are in too many documents for any entity never leave the document.
+    words = holders.select("who", "key", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    words = _counted(words, n_t, ["term"], "n_t", frequent, limit(top))
+    able = F.col("n_t") <= F.pow(F.col("n_c").cast("double"), F.lit(alpha)) * max(n, 1) ** (1 - alpha) * (1 + prior / max(n, 1)) - prior + 1e-6
+    pairs = checkpointed(words.join(_counted(held, n_c, ["entity"], "n_c", frequent), ["who", "key"]).filter(able))
+    share = (F.col("n_tc") + prior * F.col("n_c") / n) / (F.col("n_t") + prior) if n else F.lit(0.0)
+    told = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_tc"), F.first("n_t").alias("n_t"), F.first("n_c").alias("n_c")).withColumn("pmi", F.log(share * n / F.col("n_c")))
+    told = checkpointed(told.filter((F.col("pmi") > 0) & (F.col("pmi") >= alpha * F.log(n / F.col("n_c")))).select("entity", "term", "pmi", "n_tc"))
+    return _counted(pairs.select("who", "key", "entity", "term"), told, ["entity", "term"], "n_tc", frequent).drop("n_tc")
+
+
+def term_places(stored: DataFrame, told: DataFrame) -> DataFrame:
+    """(who, key, start, end, term): all places of the terms (who, key, term) in their documents."""
+    wanted = told.select("who", "key", "term").distinct()
+    t = lowered(F.col("text"))
+    texts = stored.filter(F.size(_entities()) > 0).dropDuplicates(["who", "key"]).join(wanted.select("who", "key").distinct(), ["who", "key"], "left_semi")
+    each = texts.select("who", "key", F.posexplode(F.arrays_zip(F.split(t, _WORD).alias("gap"), F.regexp_extract_all(t, F.lit(_WORD), F.lit(0)).alias("term"))).alias("i", "x"))
+    each = each.select("who", "key", "i", F.length("x.gap").alias("gap"), "x.term", F.coalesce(F.length("x.term"), F.lit(0)).alias("size"))
+    # Running sums give the positions, whatever the length of a text.
+    w = Window.partitionBy("who", "key").orderBy("i")
+    end = F.sum(F.col("gap") + F.col("size")).over(w).cast("int")
+    return each.select("who", "key", "term", (end - F.col("size")).alias("start"), end.alias("end")).join(wanted, ["who", "key", "term"])
 
 
 def all_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, **limits) -> DataFrame:
     """(id, key, [text,] email, ip, card, phone, terms): terms are array<struct<start, end, m>> sorted by start."""
     base = base_spans(df, id_col, text_col)
-    terms = disclosing(df, base, id_col, text_col, **limits).groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.col("term").alias("m")))).alias("terms"))
-    terms = terms.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "terms")
-    shown = base if keep_text else base.drop("text")
-    j = shown.join(terms, shown["id"].eqNullSafe(terms["__id"]) & (shown["key"] == terms["__key"]), "left").drop("__id", "__key")
+    # Only documents with entities are looked into again; the text of others is not kept.
+    stored = checkpointed(base if keep_text else base.withColumn("text", F.when(F.size(F.concat(*KINDS)) > 0, F.col("text"))))
+    places = term_places(stored, checkpointed(disclosing(df, stored, id_col, text_col, **limits)))
+    terms = places.groupBy("who", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("term").alias("m")))).alias("terms"))
+    j = (stored if keep_text else stored.drop("text")).join(terms, ["who", "key"], "left").drop("who")
     base_all = F.concat(*KINDS)
     apart = F.filter(F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,m:string>>")), lambda t: ~F.exists(base_all, lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])))
     return j.withColumn("terms", apart)
