@@ -63,10 +63,11 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """Write the postings of all texts to ``path`` and read them back; position 0 is a mark, words follow from 1."""
     text = F.col(f"`{text_col}`").cast("string")
     w = docs.select(F.monotonically_increasing_id().alias("did"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("key"), F.concat(F.array(F.lit(_MARK)), tokens(text)).alias("w"))
+    # One sort column is sorted by radix, which keeps the order of documents and positions within a term.
     flat = w.select("did", "id", "key", (F.size("w") - 1).cast("long").alias("n_words"), F.posexplode("w").alias("pos", "term"))
     at_mark = F.col("pos") == 0
     marked = [F.when(at_mark, F.col(c)).alias(c) for c in ("id", "key", "n_words")]
-    flat.select(F.xxhash64("term").alias("th"), "term", "did", "pos", *marked).sortWithinPartitions("th", "did", "pos").write.parquet(path)
+    flat.select(F.xxhash64("term").alias("th"), "term", "did", "pos", *marked).sortWithinPartitions("th").write.parquet(path)
     return open_index(docs.sparkSession, path)
 
 
