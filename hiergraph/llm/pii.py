@@ -115,7 +115,11 @@ _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def _entities() -> Column:
     """Distinct kind:text of all base spans of a row."""
-    return F.array_distinct(F.concat(*(F.transform(F.col(k), lambda x, k=k: F.concat(F.lit(f"{k}:"), F.lower(x["m"]))) for k in KINDS)))
+
+    def named(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda x: F.concat(F.lit(f"{kind}:"), F.lower(x["m"])))
+
+    return F.array_distinct(F.concat(*map(named, KINDS)))
 
 
 def _counted(rows: DataFrame, counts: DataFrame, key: list[str], n: str, frequent: float, most: float | None = None) -> DataFrame:
