@@ -82,3 +82,8 @@ def padded(node: Column) -> Column:
 
 def floor_ms(ts: Column) -> Column:
     return F.date_trunc("MILLISECOND", ts)
+
+
+def log_n(value: Column, base: float) -> Column:
+    """Logarithm to any base."""
+    return F.ln(value) / F.ln(F.lit(float(base)))

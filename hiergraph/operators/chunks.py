@@ -112,3 +112,14 @@ def bounding_below(chunks: DataFrame, codec: Codec, layer: int) -> DataFrame:
         out = out.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1))).withColumn(f"c{c}", F.col(c) * F.col("w") + F.col("i")).drop("i")
         edge = edge | (F.col(f"c{c}") % F.col("w") == 0) | (F.col(f"c{c}") % F.col("w") == F.col("w") - 1)
     return out.filter(edge).drop("w")
+
+
+def container_chunks(faces: DataFrame, bounds: tuple[int, int, int]) -> DataFrame:
+    """(x, y, z, axis, cx, cy, cz) of faces (x, y, z, axis) between a chunk and the next one along an axis (0 to 2): the chunks whose
+    files hold the face's data, those one step below the upper chunk along the axis and at most one along the others."""
+    out = faces
+    for i, (c, bound) in enumerate(zip("xyz", bounds, strict=True)):
+        upper = F.col(c) + (F.col("axis") == i).cast("int")
+        out = out.withColumn("d", F.explode(F.array(F.lit(0), F.lit(-1)))).filter((F.col("axis") != i) | (F.col("d") == -1))
+        out = out.withColumn(f"c{c}", upper + F.col("d")).filter((F.col(f"c{c}") >= 0) & (F.col(f"c{c}") < bound)).drop("d")
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import Codec
-from .graph import connected_components
+from .graph import checkpointed, connected_components
 
 
 def directed(edges: DataFrame, inside: Column) -> DataFrame:
@@ -42,6 +42,50 @@ def layer_two(nodes: DataFrame, edges: DataFrame, codec: Codec) -> DataFrame:
     return comp.join(firsts, ["chunk", "root"]).select("node", (F.col("chunk") + 2**56 + F.col("i")).alias("l2"))
 
 
+def chunk_summary(l2: DataFrame, edges: DataFrame, codec: Codec) -> DataFrame:
+    """(chunk, components, n_in, n_out) of layer-2 nodes (node, l2): edges are counted where their first end lies."""
+    inner = codec.cross_layer(F.col("a"), F.col("b")) == 1
+    kinds = edges.groupBy(codec.chunk(F.col("a")).alias("chunk")).agg(F.count_if(inner).alias("n_in"), F.count_if(~inner).alias("n_out"))
+    parts = l2.groupBy(codec.chunk(F.col("node")).alias("chunk")).agg(F.count_distinct("l2").alias("components"))
+    return parts.join(kinds, "chunk", "left").na.fill(0, ["n_in", "n_out"])
+
+
+def node_cross_edges(l2: DataFrame, edges: DataFrame, codec: Codec) -> DataFrame:
+    """(l2, layer, a, b): the edges that leave their chunk, from both sides, with the layer-2 node of their first end."""
+    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    crossing = both.withColumn("layer", codec.cross_layer(F.col("a"), F.col("b"))).filter("layer > 1")
+    return crossing.join(l2.select(F.col("node").alias("a"), "l2"), "a").select("l2", "layer", "a", "b")
+
+
+def component_cross_edges(components: DataFrame, cross: DataFrame) -> DataFrame:
+    """(root, layer, a, b): crossing edges (a, b, layer) whose first end lies in a component (node, root)."""
+    return cross.join(components.select(F.col("node").alias("a"), "root"), "a").select("root", "layer", "a", "b")
+
+
+def active_edges(edges: DataFrame, mapping: DataFrame, cross: Column) -> DataFrame:
+    """(a, b, active, isolated) by a mapping (node, l2): crossing edges are active, others iff both ends are mapped to one
+    component; isolated edges have an unmapped end."""
+    named = lambda c, p: mapping.select(F.col("node").alias(c), F.col("l2").alias(p))
+    j = edges.join(named("a", "p"), "a", "left").join(named("b", "q"), "b", "left")
+    return j.select("a", "b", (cross | F.coalesce(F.col("p") == F.col("q"), F.lit(False))).alias("active"), (F.col("p").isNull() | F.col("q").isNull()).alias("isolated"))
+
+
+def fake_edges_at(stored: DataFrame, chunks: DataFrame, at: str) -> DataFrame:
+    """(chunk, a, b): all versions up to ``at`` of the fake edges (chunk, ts, a, b) of some chunks (chunk)."""
+    return stored.filter(F.col("ts") <= F.lit(at).cast("timestamp_ntz")).join(chunks.select("chunk"), "chunk", "left_semi").select("chunk", "a", "b")
+
+
+def inactive_between(edges: DataFrame, components: DataFrame, asked: DataFrame, active: str) -> DataFrame:
+    """(operation_id, a, b): for merges asked (operation_id, source, sink) the inactive edges between the two components
+    (node, root) their ends lie in: what the merge turns active."""
+    cc = checkpointed(components)
+    named = lambda c, r: cc.select(F.col("node").alias(c), F.col("root").alias(r))
+    j = edges.filter(f"NOT ({active})").join(named("a", "ra"), "a").join(named("b", "rb"), "b").filter("ra <> rb")
+    keyed = j.select("a", "b", F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi"))
+    ends = asked.join(named("source", "rs"), "source").join(named("sink", "rt"), "sink").filter("rs <> rt")
+    return ends.select("operation_id", F.least("rs", "rt").alias("lo"), F.greatest("rs", "rt").alias("hi")).join(keyed, ["lo", "hi"]).select("operation_id", "a", "b").distinct()
+
+
 def layer_above(l2: DataFrame, edges: DataFrame, codec: Codec, layer: int) -> DataFrame:
     """(child, parent_root): components of layer-2 nodes over edges that stay within one chunk of ``layer``; parent_root is the least member."""
     named = lambda c: l2.select(F.col("node").alias(c), F.col("l2").alias(f"l{c}"))
@@ -58,6 +102,12 @@ def lockable(locks: DataFrame, at: str, expiry_minutes: int = 3) -> DataFrame:
     return seen.groupBy("root").agg((~F.bool_or(held)).alias("free"))
 
 
+def lock_winners(wanted: DataFrame) -> DataFrame:
+    """(operation_id, gets) of (operation_id, root): an operation gets its locks iff it comes first at each root it wants."""
+    first = wanted.groupBy("root").agg(F.min("operation_id").alias("first"))
+    return wanted.join(first, "root").groupBy("operation_id").agg(F.bool_and(F.col("operation_id") == F.col("first")).alias("gets"))
+
+
 def new_ids(wanted: DataFrame, highest: DataFrame) -> DataFrame:
     """(chunk, item, segment): fresh segment numbers above each chunk's highest, of (chunk, item) and (chunk, top)."""
     w = Window.partitionBy("chunk").orderBy("item")

@@ -151,3 +151,31 @@ def build(nodes: DataFrame, edges: DataFrame, codec: Codec, ts: str) -> Edited:
 def undone(operation: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(added, removed) that take back an operation (a, b, added): its added edges go, its removed edges come back."""
     return operation.filter("NOT added").select("a", "b"), operation.filter("added").select("a", "b")
+
+
+def transactions(ops: DataFrame, read_only: bool = False) -> DataFrame:
+    """(operation_id, step, status) of ops (operation_id, locked, valid, raised): what each operation writes to its log, in order.
+
+    An operation that does not get its locks writes nothing. The others are created; one that breaks a pre- or postcondition
+    (valid is false) stays so, one that fails unexpectedly (raised) logs an exception. Before the rows themselves are written
+    the start is logged, after them the success; a read-only graph stops before the write."""
+    done = F.array(F.lit("created")) if read_only else F.array(F.lit("created"), F.lit("write_started"), F.lit("success"))
+    said = F.when(F.col("raised"), F.array(F.lit("created"), F.lit("exception"))).when(~F.col("valid"), F.array(F.lit("created"))).otherwise(done)
+    return ops.filter("locked").select("operation_id", F.posexplode(said).alias("step", "status"))
+
+
+def repairable(log: DataFrame) -> DataFrame:
+    """(operation_id, status): operations (operation_id, step, status) that started to write and did not succeed: to be run
+    again on the hierarchy as it was when they were created."""
+    last = log.groupBy("operation_id").agg(F.max_by("status", "step").alias("status"))
+    return last.filter("status = 'write_started'")
+
+
+def as_of(parents: DataFrame, ts: str) -> DataFrame:
+    """The rows of a hierarchy before a time: the state an operation of that time is replayed on."""
+    return parents.filter(F.col("ts") < F.lit(ts).cast("timestamp_ntz"))
+
+
+def repaired(parents: DataFrame, edges: DataFrame, codec: Codec, ts: str, added: DataFrame | None = None, removed: DataFrame | None = None) -> Edited:
+    """Replay a failed edit on the state just before ``ts``; what it wrote then, if anything, is left out of that state."""
+    return apply_edits(as_of(parents, ts), edges, codec, ts, added, removed)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -15,6 +17,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -27,22 +35,23 @@ def _compact(df: DataFrame, rows_each: int = 100_000) -> DataFrame:
     return checkpointed(kept.coalesce(parts)) if 4 * parts < kept.rdd.getNumPartitions() else kept
 
 
-def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of edges (a, b): the least node of each component, by alternating large-star and small-star rounds.
 
-    Self edges make their node known. Each round is two partial aggregations and two joins; lineage is cut each round."""
+    Self edges make their node known. Each round is two partial aggregations and two joins; lineage is cut each round, and
+    rounds go on until the edges stand still (about the logarithm of the longest path, never more than its length)."""
     edges = checkpointed(edges.select("a", "b"))
     lone = edges.filter("a = b").select(F.col("a").alias("node")).distinct()
     e = _compact(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
-    for _ in range(0 if e.isEmpty() else most):
+    before = (0, None)
+    while not e.isEmpty():
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         e = _compact(small.filter("u <> v").distinct())
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break
         before = state
@@ -50,27 +59,46 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     return known.unionAll(lone.join(known, "node", "left_anti").select("node", F.col("node").alias("root")))
 
 
+def reachable(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Adds ``reachable`` to pairs (u, v): whether both lie in one component of the edges."""
+    cc = checkpointed(connected_components(edges))
+    named = lambda c, r: cc.select(F.col("node").alias(c), F.col("root").alias(r))
+    return pairs.join(named("u", "__p"), "u", "left").join(named("v", "__q"), "v", "left").withColumn("reachable", F.coalesce(F.col("__p") == F.col("__q"), F.lit(False))).drop("__p", "__q")
+
+
 def densified(edges: DataFrame) -> DataFrame:
     """(node, dense): 0-based ranks of the node ids, made with a range partitioning rather than one sorted task."""
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().orderBy("node")
     placed = checkpointed(nodes.withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1).cast("long"))))
     sizes = placed.groupBy("part").agg((F.max("i") + 1).alias("n"))
-    before = sizes.alias("x").join(sizes.alias("y"), F.col("y.part") < F.col("x.part"), "left").groupBy("x.part").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))
+    # A running sum over one row per partition.
+    before = sizes.select("part", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("before"))
     return placed.join(F.broadcast(before), "part").select("node", (F.col("before") + F.col("i")).alias("dense"))  # one row per partition
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
-    """(source, node, hops) within ``most`` undirected hops of sources (source): frontier joins, each node once."""
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops"))
-    front = seen
-    for i in range(1, most + 1):
-        reached = front.join(both, front["node"] == both["a"]).select("source", F.col("b").alias("node")).distinct()
-        front = checkpointed(reached.join(seen, ["source", "node"], "left_anti").withColumn("hops", F.lit(i)))
+def shortest_paths(edges: DataFrame, sources: DataFrame, within: int | None = None) -> DataFrame:
+    """(source, node, hops, path) by undirected hops from sources (source), to ``within`` hops or as far as they reach.
+
+    Frontier joins, checkpointed; a neighbour of a frontier lies in it, in the one before or in the next, so only those two are
+    looked up. Of several shortest paths the one whose last node but one is least counts."""
+    both = checkpointed(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    front = checkpointed(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("hops"), F.array("source").alias("path")).distinct())
+    before, levels = front.limit(0), [front]
+    while within is None or len(levels) <= within:
+        reached = front.join(both, front["node"] == both["a"]).groupBy("source", "b").agg(F.min_by("path", "a").alias("path"))
+        new = reached.select("source", F.col("b").alias("node"), F.lit(len(levels)).alias("hops"), F.concat("path", F.array("b")).alias("path"))
+        seen = before.select("source", "node").unionAll(front.select("source", "node"))
+        before, front = front, _compact(new.join(seen, ["source", "node"], "left_anti"))
         if front.isEmpty():
             break
-        seen = seen.unionAll(front)
-    return seen
+        levels.append(front)
+    return reduce(DataFrame.unionAll, levels)
+
+
+def shortest_path(edges: DataFrame, source: int, target: int) -> DataFrame:
+    """(hops, path) between two nodes; no row where they do not hang together."""
+    start = edges.sparkSession.createDataFrame([(source,)], "source long")
+    return shortest_paths(edges, start).filter(F.col("node") == target).select("hops", "path")
 
 
 def contracted(edges: DataFrame, uncuttable: str = "aff = double('Infinity')") -> tuple[DataFrame, DataFrame]:

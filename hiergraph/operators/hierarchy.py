@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 LAYER = 2**56
 
 
@@ -18,44 +22,63 @@ def parents_at(parents: DataFrame, at: str | None = None) -> DataFrame:
     return p.groupBy("child_id").agg(F.max_by("parent_id", F.struct("ts", "parent_id")).alias("parent_id"))
 
 
-def climb(ids: DataFrame, parents: DataFrame, layers: int, at: str | None = None) -> DataFrame:
-    """(id, layer, ancestor): every ancestor of ids (id), itself included; at most ``layers`` joins, ids that share an ancestor share its row."""
-    up = parents_at(parents, at)
-    level = ids.select("id", F.col("id").alias("ancestor"))
-    out = level
+def _paths(ids: DataFrame, up: DataFrame, layers: int) -> DataFrame:
+    """(id, path) of ids (id): the ancestors, array<struct<layer, ancestor>>, itself first.
+
+    Distinct ancestors climb, level by level, so an upper node's row is joined once however many ids lie below it; then the
+    paths are put together from the top down, and the ids are joined to those of their parents."""
+    up = checkpointed(up)
+    at = ids.select(F.col("id").alias("node")).distinct()
+    steps = []
     for _ in range(layers - 1):
-        level = level.join(up, level["ancestor"] == up["child_id"]).select("id", F.col("parent_id").alias("ancestor"))
-        out = out.unionAll(level)
-    return out.select("id", layer_of(F.col("ancestor")).alias("layer"), "ancestor")
+        step = checkpointed(at.join(up, at["node"] == up["child_id"]).select("node", F.col("parent_id").alias("above")))
+        steps.append((at, step))
+        at = step.select(F.col("above").alias("node")).distinct()
+    own = F.array(F.struct(layer_of(F.col("node")).alias("layer"), F.col("node").alias("ancestor")))
+    path = at.select("node", own.alias("path"))
+    for at, step in reversed(steps):
+        higher = path.select(F.col("node").alias("above"), F.col("path").alias("rest"))
+        joined = step.join(higher, "above", "left").select("node", "rest")
+        path = at.join(joined, "node", "left").select("node", F.when(F.col("rest").isNull(), own).otherwise(F.concat(own, "rest")).alias("path"))
+    return path.withColumnRenamed("node", "id")
+
+
+def climb(ids: DataFrame, parents: DataFrame, layers: int, at: str | None = None) -> DataFrame:
+    """(id, layer, ancestor): every ancestor of ids (id), itself included."""
+    return _paths(ids, parents_at(parents, at), layers).select("id", F.explode("path").alias("p")).select("id", "p.layer", "p.ancestor")
 
 
 def roots(ids: DataFrame, parents: DataFrame, layers: int, at: str | None = None, stop_layer: int | None = None, ceil: bool = True) -> DataFrame:
     """(id, root): the first ancestor at or above stop_layer, with ceil=False the last at or below it; else the highest there is."""
     stop = layers if stop_layer is None else stop_layer
-    path = climb(ids, parents, layers, at)
-    above = F.min_by("ancestor", F.when(F.col("layer") >= stop, F.col("layer")))
-    exact = F.max_by("ancestor", F.when(F.col("layer") <= stop, F.col("layer")))
-    highest = F.max_by("ancestor", "layer")
-    return path.groupBy("id").agg((F.coalesce(above, highest) if ceil else exact).alias("root"))
+    path = _paths(ids, parents_at(parents, at), layers)
+    above = F.filter("path", lambda p: p["layer"] >= stop)
+    below = F.filter("path", lambda p: p["layer"] <= stop)
+    found = F.coalesce(F.get(above, F.lit(0)), F.element_at("path", -1)) if ceil else F.try_element_at(below, F.lit(-1))
+    return path.select("id", found["ancestor"].alias("root"))
 
 
 def descend(seeds: DataFrame, children: DataFrame, layers: int, least_layer: int = 2, keep: Column | None = None) -> DataFrame:
-    """(seed, layer, node): all nodes under seeds (seed) down to least_layer, the seed included; ``keep`` prunes nodes (column node)."""
-    level = seeds.select("seed", F.col("seed").alias("node"))
-    out = level
+    """(seed, layer, node): all nodes under seeds (seed) down to least_layer, the seed included; ``keep`` prunes nodes (column node).
+
+    A level is checkpointed before the next is joined to it, so plans stay one join deep."""
+    levels = [seeds.select("seed", F.col("seed").alias("node"))]
     for _ in range(layers - least_layer):
+        level = levels[-1]
         level = level.join(children, level["node"] == children["parent_id"]).select("seed", F.col("child_id").alias("node")).filter(layer_of(F.col("node")) >= least_layer)
-        level = level if keep is None else level.filter(keep)
-        out = out.unionAll(level)
+        level = checkpointed(level)
+        # Filtered behind the checkpoint: a large predicate is not carried through the join's constraints.
+        levels.append(level if keep is None else level.filter(keep))
+    out = reduce(DataFrame.unionAll, levels)
     return out.select("seed", layer_of(F.col("node")).alias("layer"), "node")
 
 
 def lowest_common(pairs: DataFrame, parents: DataFrame, layers: int, at: str | None = None) -> DataFrame:
-    """(a, b, shared): lowest common ancestor, null if there is none."""
-    path = climb(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), parents, layers, at)
-    left, right = path.select(F.col("id").alias("a"), F.col("ancestor"), "layer"), path.select(F.col("id").alias("b"), F.col("ancestor"))
-    found = pairs.join(left, "a").join(right, ["b", "ancestor"]).groupBy("a", "b").agg(F.min_by("ancestor", "layer").alias("shared"))
-    return pairs.join(found, ["a", "b"], "left")
+    """(a, b, shared): lowest common ancestor, null if there is none; the paths of both ends are compared in the row."""
+    path = checkpointed(_paths(pairs.select(F.explode(F.array("a", "b")).alias("id")), parents_at(parents, at), layers))
+    left, right = path.select(F.col("id").alias("a"), F.col("path").alias("p")), path.select(F.col("id").alias("b"), F.col("path").alias("q"))
+    shared = F.filter("p", lambda x: F.exists("q", lambda y: x["ancestor"] == y["ancestor"]))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", F.get(shared, F.lit(0))["ancestor"].alias("shared"))
 
 
 def multi_child(children: DataFrame, ids: DataFrame, layers: int) -> DataFrame:
@@ -85,3 +108,25 @@ def minimal_cover(ids: DataFrame, parents: DataFrame, layers: int) -> DataFrame:
 def overlaid(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """Not yet written rows in front of the stored ones."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
+
+
+def descend_in_box(seeds: DataFrame, children: DataFrame, codec, box, least_layer: int = 2) -> DataFrame:
+    """(seed, layer, node): ``descend`` where nodes above layer 2 that miss a box (in finest chunks) are pruned; what hangs below a
+    layer-2 node is not tested."""
+    from .chunks import in_box
+
+    return descend(seeds, children, codec.layers, least_layer, (layer_of(F.col("node")) <= 1) | in_box(codec, F.col("node"), box))
+
+
+def subgraph(seeds: DataFrame, parents: DataFrame, edges: DataFrame, codec, box=None) -> tuple[DataFrame, DataFrame]:
+    """(leaves (seed, node), edges (seed, a, b, kind)) below seeds (seed), within a box: edges with both ends in the seed's
+    leaves are in, with one out, where the ends lie in different chunks cross."""
+    children = parents_at(parents).select("child_id", "parent_id")
+    nodes = descend(seeds, children, codec.layers, 1) if box is None else descend_in_box(seeds, children, codec, box, 1)
+    leaves = checkpointed(nodes.filter("layer = 1").select("seed", "node"))
+    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    mine = both.join(leaves.select("seed", F.col("node").alias("a")), "a").join(leaves.select("seed", F.col("node").alias("b"), F.lit(True).alias("inside")), ["seed", "b"], "left")
+    kind = F.when(codec.cross_layer(F.col("a"), F.col("b")) > 1, "cross").when(F.col("inside"), "in").otherwise("out")
+    # An inner edge is seen from both ends; it counts once.
+    once = mine.withColumn("kind", kind).filter((F.col("kind") != "in") | (F.col("a") < F.col("b")))
+    return leaves, once.select("seed", "a", "b", "kind")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import connected_components
+
 
 def nearest(points: DataFrame, voxels: DataFrame, radius: int) -> DataFrame:
     """(point, sv, d2): each point's nearest voxel within ``radius``; ties go to the least sv, points with none are absent.
@@ -41,3 +43,18 @@ def merged_vertices(vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
     A point's id is the least (fragment, i) at it, so nothing has to be sorted as a whole."""
     points = vertices.groupBy("x", "y", "z").agg(F.min(F.struct("fragment", "i")).alias("vertex"))
     return points, vertices.join(points, ["x", "y", "z"]).select("fragment", "i", "vertex")
+
+
+def clusters(points: DataFrame, radius: float) -> DataFrame:
+    """(point, cluster): points (point, x, y, z) chained by distances under ``radius``; a cluster's id is its least point.
+
+    Cells of side ``radius``: a point meets the points of its 27 cells only, by an equi-join."""
+    cell = lambda c: F.floor(F.col(c) / radius)
+    left = points.select("point", *(F.col(c).alias(f"p{c}") for c in "xyz"), *(cell(c).alias(f"c{c}") for c in "xyz"))
+    right = points.select(F.col("point").alias("other"), *(F.col(c).alias(f"q{c}") for c in "xyz"), *(cell(c).alias(f"d{c}") for c in "xyz"))
+    for c in "xyz":
+        left = left.withColumn(f"d{c}", F.explode(F.array(*(F.col(f"c{c}") + k for k in (-1, 0, 1)))))
+    d2 = sum((F.col(f"p{c}") - F.col(f"q{c}")) * (F.col(f"p{c}") - F.col(f"q{c}")) for c in "xyz")
+    near = left.join(right, ["dx", "dy", "dz"]).filter((F.col("point") < F.col("other")) & (d2 < radius * radius)).select(F.col("point").alias("a"), F.col("other").alias("b"))
+    every = points.select(F.col("point").alias("a"), F.col("point").alias("b"))
+    return connected_components(near.unionAll(every)).select(F.col("node").alias("point"), F.col("root").alias("cluster"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 L = 2**56
@@ -61,38 +61,41 @@ def versions(s: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").alias("child_id"), (1000 + F.get_json_object("props", "$.k").cast("long")).alias("parent_id"), "ts", "event_id")
 
 
+#: A supervoxel is a supplier's part; its key counts parts first.
+SV = "l_suppkey * 2097152 + l_partkey"
+
+
 def grid(s: SparkSession, d: str, codec) -> DataFrame:
-    """FX-GRID: parts as supervoxels on an 8 x 8 x 8 grid."""
-    k = F.col("p_partkey")
+    """FX-GRID: parts of suppliers as supervoxels (sv) on an 8 x 8 x 8 grid."""
+    k = F.col("sv")
     x, y, z, seg = k % 8, F.floor(k / 8) % 8, F.floor(k / 64) % 8, F.floor(k / 512) + 1
-    return table(s, d, "part").select("p_partkey", x.alias("x"), y.alias("y"), z.alias("z"), seg.alias("seg"), codec.pack(F.lit(1), x, y, z, seg).alias("node"))
+    svs = table(s, d, "lineitem").select(F.expr(SV).alias("sv")).distinct()
+    return svs.select("sv", x.alias("x"), y.alias("y"), z.alias("z"), seg.alias("seg"), codec.pack(F.lit(1), x, y, z, seg).alias("node"))
 
 
-GRID_SQL = f"grid AS (SELECT p_partkey, p_partkey % 8 AS x, p_partkey // 8 % 8 AS y, p_partkey // 64 % 8 AS z, p_partkey // 512 + 1 AS seg, {L} + (p_partkey % 8) * {2**46} + (p_partkey // 8 % 8) * {2**36} + (p_partkey // 64 % 8) * {2**26} + p_partkey // 512 + 1 AS node FROM part)"
+GRID_SQL = f"grid AS (SELECT sv, sv % 8 AS x, sv // 8 % 8 AS y, sv // 64 % 8 AS z, sv // 512 + 1 AS seg, {L} + (sv % 8) * {2**46} + (sv // 8 % 8) * {2**36} + (sv // 64 % 8) * {2**26} + sv // 512 + 1 AS node FROM (SELECT DISTINCT {SV} AS sv FROM lineitem))"
 
 
 def edges(s: SparkSession, d: str) -> DataFrame:
-    """FX-EDGES: consecutive distinct parts of every sixteenth order; area counts, aff is the greatest discount in percent."""
-    i = table(s, d, "lineitem").filter("l_orderkey % 16 = 0").groupBy("l_orderkey", "l_partkey").agg(F.max(F.round(F.col("l_discount") * 100).cast("long")).alias("disc"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_partkey")
-    p = i.select(F.col("l_partkey").alias("b"), F.lag("l_partkey").over(w).alias("a"), F.greatest("disc", F.lag("disc").over(w)).alias("disc")).filter("a IS NOT NULL")
+    """FX-EDGES: consecutive distinct supervoxels of every order; area counts, aff is the greatest discount in percent."""
+    i = table(s, d, "lineitem").groupBy("l_orderkey", F.expr(SV).alias("sv")).agg(F.max(F.round(F.col("l_discount") * 100).cast("long")).alias("disc"))
+    w = Window.partitionBy("l_orderkey").orderBy("sv")
+    p = i.select(F.col("sv").alias("b"), F.lag("sv").over(w).alias("a"), F.greatest("disc", F.lag("disc").over(w)).alias("disc")).filter("a IS NOT NULL")
     return p.groupBy("a", "b").agg(F.count("*").alias("area"), F.max("disc").alias("aff"))
 
 
-EDGES_SQL = """edges AS (SELECT a, b, count(*)::BIGINT AS area, max(disc) AS aff FROM (
-  SELECT l_partkey AS b, lag(l_partkey) OVER w AS a, greatest(disc, lag(disc) OVER w) AS disc
-  FROM (SELECT l_orderkey, l_partkey, max(round(l_discount * 100)::BIGINT) AS disc FROM lineitem WHERE l_orderkey % 16 = 0 GROUP BY 1, 2)
-  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_partkey)) WHERE a IS NOT NULL GROUP BY a, b)"""
+EDGES_SQL = f"""edges AS (SELECT a, b, count(*)::BIGINT AS area, max(disc) AS aff FROM (
+  SELECT sv AS b, lag(sv) OVER w AS a, greatest(disc, lag(disc) OVER w) AS disc
+  FROM (SELECT l_orderkey, {SV} AS sv, max(round(l_discount * 100)::BIGINT) AS disc FROM lineitem GROUP BY 1, 2)
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY sv)) WHERE a IS NOT NULL GROUP BY a, b)"""
 
 
 def components_sql(condition: str) -> str:
-    """cc(node, root) of the edges that meet the condition; recursive."""
+    """cc(node, root) of the edges that meet the condition; least labels spread until none falls."""
     return f"""WITH RECURSIVE {EDGES_SQL},
 both_ways AS (SELECT a, b FROM edges WHERE {condition} UNION SELECT b, a FROM edges WHERE {condition}),
-reach(node, other) AS (SELECT DISTINCT a, a FROM both_ways UNION SELECT node, b FROM reach JOIN both_ways ON other = a),
-cc AS (SELECT node, min(other) AS root FROM reach GROUP BY node)"""
+cc(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM both_ways
+  UNION SELECT w.b, min(n.root) FROM cc n JOIN both_ways w ON w.a = n.node JOIN recurring.cc k ON k.node = w.b WHERE n.root < k.root GROUP BY w.b)"""
 
 
 def log(s: SparkSession, d: str) -> DataFrame:
@@ -120,8 +123,6 @@ kinds AS (SELECT *, CASE WHEN undo_of IS NOT NULL THEN 'undo' WHEN redo_of IS NO
 
 def lineage(s: SparkSession, d: str) -> DataFrame:
     """FX-LINEAGE: per user and day a chain of main roots 2e; a click also makes root 2e + 1."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id")
     e = table(s, d, "events").withColumn("old_root", 2 * F.lag("event_id").over(w)).filter("old_root IS NOT NULL")
     new = F.when(F.col("event_type") == "click", F.array(2 * F.col("event_id"), 2 * F.col("event_id") + 1)).otherwise(F.array(2 * F.col("event_id")))

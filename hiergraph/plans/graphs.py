@@ -9,6 +9,7 @@ from ..operators import edges as E
 from ..operators import graph as G
 from ..operators import hierarchy as H
 from ..operators import history as K
+from ..operators import multicut as M
 from . import fixtures as X
 from .tree import CODEC, L, us
 
@@ -29,17 +30,17 @@ def query(name: str, sql: str | None = None):
 
 
 def nodes(s, d):
-    return X.grid(s, d, CODEC).select("p_partkey", "node")
+    return X.grid(s, d, CODEC).select("sv", "node")
 
 
 def placed_edges(s, d):
     """FX-EDGES between FX-GRID nodes."""
     g = nodes(s, d)
-    a, b = g.select(F.col("p_partkey").alias("a"), F.col("node").alias("na")), g.select(F.col("p_partkey").alias("b"), F.col("node").alias("nb"))
+    a, b = g.select(F.col("sv").alias("a"), F.col("node").alias("na")), g.select(F.col("sv").alias("b"), F.col("node").alias("nb"))
     return X.edges(s, d).join(a, "a").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), "aff", "area")
 
 
-PLACED = f"{X.EDGES_SQL}, {X.GRID_SQL}, placed AS (SELECT g.node AS a, h.node AS b, aff, area, g.x AS ax, h.x AS hx, g.y AS ay, h.y AS hy, g.z AS az, h.z AS hz FROM edges e JOIN grid g ON g.p_partkey = a JOIN grid h ON h.p_partkey = b), layered AS (SELECT *, 1 + (ax <> hx OR ay <> hy OR az <> hz)::INT + (ax // 2 <> hx // 2 OR ay // 2 <> hy // 2 OR az // 2 <> hz // 2)::INT + (ax // 4 <> hx // 4 OR ay // 4 <> hy // 4 OR az // 4 <> hz // 4)::INT AS layer FROM placed)"
+PLACED = f"{X.EDGES_SQL}, {X.GRID_SQL}, placed AS (SELECT g.node AS a, h.node AS b, aff, area, g.x AS ax, h.x AS hx, g.y AS ay, h.y AS hy, g.z AS az, h.z AS hz FROM edges e JOIN grid g ON g.sv = a JOIN grid h ON h.sv = b), layered AS (SELECT *, 1 + (ax <> hx OR ay <> hy OR az <> hz)::INT + (ax // 2 <> hx // 2 OR ay // 2 <> hy // 2 OR az // 2 <> hz // 2)::INT + (ax // 4 <> hx // 4 OR ay // 4 <> hy // 4 OR az // 4 <> hz // 4)::INT AS layer FROM placed)"
 LAYER = CODEC.cross_layer
 
 
@@ -50,9 +51,9 @@ def _(s, d):
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("edge_type").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("total"))
 
 
-@query("e04_categorize", f"WITH {PLACED} SELECT a, b, CASE WHEN layer > 1 THEN 'cross' WHEN b IN (SELECT node FROM grid WHERE p_partkey % 3 <> 0) THEN 'in' ELSE 'out' END AS kind FROM layered WHERE a IN (SELECT node FROM grid WHERE p_partkey % 3 <> 0)")
+@query("e04_categorize", f"WITH {PLACED} SELECT a, b, CASE WHEN layer > 1 THEN 'cross' WHEN b IN (SELECT node FROM grid WHERE sv % 3 <> 0) THEN 'in' ELSE 'out' END AS kind FROM layered WHERE a IN (SELECT node FROM grid WHERE sv % 3 <> 0)")
 def _(s, d):
-    members = nodes(s, d).filter("p_partkey % 3 <> 0").select("node")
+    members = nodes(s, d).filter("sv % 3 <> 0").select("node")
     return E.categorized(placed_edges(s, d).select("a", "b"), members, LAYER(F.col("a"), F.col("b"))).select("a", "b", "kind")
 
 
@@ -111,10 +112,12 @@ def _(s, d):
     return G.connected_components(X.edges(s, d).filter("aff >= 5").select("a", "b"))
 
 
-@query("g04_shortest_path_length", f"WITH RECURSIVE {X.EDGES_SQL}, w AS (SELECT a, b FROM edges WHERE aff >= 5 UNION SELECT b, a FROM edges WHERE aff >= 5), src AS (SELECT min(a) AS v FROM w), bfs(node, hops) AS (SELECT v, 0 FROM src UNION SELECT w.b, hops + 1 FROM bfs JOIN w ON w.a = node WHERE hops < 6) SELECT v AS source, node, min(hops) AS hops FROM bfs, src GROUP BY 1, 2")
+@query("g04_shortest_paths", X.components_sql("aff >= 5") + ", bfs(node, source, hops, path) USING KEY (node) AS (SELECT DISTINCT root, root, 0, root::VARCHAR FROM cc UNION SELECT w.b, min(f.source), min(f.hops) + 1, arg_min(f.path, f.node) || ',' || w.b FROM bfs f JOIN both_ways w ON w.a = f.node LEFT JOIN recurring.bfs k ON k.node = w.b WHERE k.node IS NULL GROUP BY w.b) SELECT source, node, hops, path FROM bfs")
 def _(s, d):
-    e = X.edges(s, d).filter("aff >= 5").select("a", "b")
-    return G.distances(e, e.agg(F.min("a").alias("source")), 6)
+    """From each component's least node to all others."""
+    e = G.checkpointed(X.edges(s, d).filter("aff >= 5").select("a", "b"))
+    found = G.shortest_paths(e, G.connected_components(e).select(F.col("root").alias("source")).distinct())
+    return found.select("source", "node", "hops", F.array_join("path", ",").alias("path"))
 
 
 @query("g06_rough_coordinates", f"WITH {X.GRID_SQL} SELECT node, (x + 0.5) * 512 * 4 AS cx, (y + 0.5) * 512 * 4 AS cy, (z + 0.5) * 64 * 40 AS cz FROM grid")
@@ -124,12 +127,11 @@ def _(s, d):
     return nodes(s, d).select("node", at(0, 512, 4).alias("cx"), at(1, 512, 4).alias("cy"), at(2, 64, 40).alias("cz"))
 
 
-@query("g07_reachability", X.components_sql("aff >= 8") + " SELECT o_orderkey, coalesce(p.root = q.root, false) AS reachable FROM orders LEFT JOIN cc p ON p.node = o_orderkey % 2000 LEFT JOIN cc q ON q.node = o_custkey")
+@query("g07_reachability", X.components_sql("aff >= 8") + f", o AS (SELECT l_orderkey, min({X.SV}) AS u, max({X.SV}) AS v FROM lineitem GROUP BY 1) SELECT l_orderkey, coalesce(p.root = q.root, false) AS reachable FROM o LEFT JOIN cc p ON p.node = u LEFT JOIN cc q ON q.node = v")
 def _(s, d):
-    cc = G.connected_components(X.edges(s, d).filter("aff >= 8"))
-    o = X.table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 2000).alias("u"), F.col("o_custkey").alias("v"))
-    j = o.join(cc.select(F.col("node").alias("u"), F.col("root").alias("p")), "u", "left").join(cc.select(F.col("node").alias("v"), F.col("root").alias("q")), "v", "left")
-    return j.select("o_orderkey", F.coalesce(F.col("p") == F.col("q"), F.lit(False)).alias("reachable"))
+    """Whether an order's least and greatest supervoxels hang together."""
+    o = X.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.min(F.expr(X.SV)).alias("u"), F.max(F.expr(X.SV)).alias("v"))
+    return G.reachable(X.edges(s, d).filter("aff >= 8"), o).select("l_orderkey", "reachable")
 
 
 @query("g08_contract_uncuttable", X.components_sql("aff >= 8") + " SELECT coalesce(p.root, a) AS a, coalesce(q.root, b) AS b, aff FROM edges LEFT JOIN cc p ON p.node = a LEFT JOIN cc q ON q.node = b WHERE aff < 8 AND coalesce(p.root, a) <> coalesce(q.root, b)")
@@ -144,20 +146,105 @@ def cut_input(s, d):
     return e.join(cc.select(F.col("node").alias("a"), "root"), "a").join(big, "root").select(F.col("root").alias("op_id"), "a", "b", F.col("aff").cast("double").alias("aff"), F.col("root").alias("source"), "sink")
 
 
+def cut_teams(s, d, each: int = 1):
+    """FX-CUT: the least and the greatest supervoxels of each component of ten nodes at least."""
+    e = G.checkpointed(cut_input(s, d))
+    w = lambda c: Window.partitionBy("op_id").orderBy(c)
+    n = e.select("op_id", F.explode(F.array("a", "b")).alias("node")).distinct()
+    n = n.withColumn("i", F.row_number().over(w("node"))).withColumn("j", F.row_number().over(w(F.desc("node")))).filter((F.col("i") <= each) | (F.col("j") <= each))
+    return e.select("op_id", "a", "b", "aff"), n.select("op_id", "node", F.when(F.col("i") <= each, "source").otherwise("sink").alias("team"))
+
+
+BIG = ", big AS (SELECT root, count(*) AS n FROM cc GROUP BY 1 HAVING count(*) >= 10)"
+
+
 @query("g09_min_cut")
 def _(s, d):
     return G.min_cuts(cut_input(s, d))
 
 
-@query("h02_layer_two_nodes")
+@query("g10_direct_cuts", X.components_sql("aff >= 8") + BIG + " SELECT root AS op_id, false AS failed, true AS adds_up, true AS parted FROM big")
+def _(s, d):
+    """One source and one sink: every cut is made, its value is the sum of its edges, and it parts the two."""
+    e, teams = cut_teams(s, d)
+    return M.checked_cuts(e, teams, M.multicuts(e, teams, path_augment=False, isolating=True))
+
+
+@query("g14_split_preview", X.components_sql("aff >= 8") + BIG + " SELECT root AS op_id, n, true AS source_first, true AS sink_second, false AS illegal FROM big")
+def _(s, d):
+    e, teams = cut_teams(s, d)
+    shown = M.split_previews(e, teams, path_augment=False, isolating=True).join(teams, ["op_id", "node"], "left")
+    at = lambda team, part: F.bool_and(F.when(F.col("team") == team, F.col("part") == part))
+    return shown.groupBy("op_id").agg(F.count("*").alias("n"), at("source", 0).alias("source_first"), at("sink", 1).alias("sink_second"), F.bool_or("illegal").alias("illegal"))
+
+
+@query("i11_multicut", X.components_sql("aff >= 8") + BIG + " SELECT root AS op_id, true AS sound FROM big")
+def _(s, d):
+    """Two sources and two sinks with path augmentation: a cut either parts the teams cleanly or is refused with a reason."""
+    e, teams = cut_teams(s, d, 2)
+    checked = M.checked_cuts(e, teams, M.multicuts(e, teams))
+    return checked.select("op_id", (F.col("failed") | F.col("adds_up") & F.col("parted")).alias("sound"))
+
+
+def spread_sql(name: str, pairs: str, nodes: str) -> str:
+    """name(node, root): least labels over undirected pairs (a, b), of all nodes (node)."""
+    return f"{name}_ways AS (SELECT a, b FROM ({pairs}) UNION SELECT b, a FROM ({pairs})), {name}(node, root) USING KEY (node) AS (SELECT node, node FROM ({nodes}) UNION SELECT w.b, min(n.root) FROM {name} n JOIN {name}_ways w ON w.a = n.node JOIN recurring.{name} k ON k.node = w.b WHERE n.root < k.root GROUP BY w.b)"
+
+
+TWO = f"WITH RECURSIVE {PLACED}, {spread_sql('inner_cc', 'SELECT a, b FROM layered WHERE layer = 1', 'SELECT node FROM grid')}, l2 AS (SELECT g.node, g.node - g.seg + {L} + dense_rank() OVER (PARTITION BY g.node - g.seg ORDER BY root) AS l2 FROM inner_cc JOIN grid g ON g.node = inner_cc.node)"
+
+
+def two(s, d):
+    e = G.checkpointed(placed_edges(s, d).select("a", "b"))
+    return e, G.checkpointed(E.layer_two(nodes(s, d).select("node"), e, CODEC))
+
+
+@query("h01_chunk_data", f"{TWO} SELECT g.node - g.seg AS chunk, count(DISTINCT l2.l2)::BIGINT AS components, count(*) FILTER (WHERE e.layer = 1)::BIGINT AS n_in, count(*) FILTER (WHERE e.layer > 1)::BIGINT AS n_out FROM grid g JOIN l2 ON l2.node = g.node LEFT JOIN layered e ON e.a = g.node GROUP BY 1")
+def _(s, d):
+    """Edges by kind of each chunk, with the components its supervoxels are mapped to."""
+    e, l2 = two(s, d)
+    return E.chunk_summary(l2, e, CODEC)
+
+
+@query("h02_layer_two_nodes", f"{TWO} SELECT node, l2 FROM l2")
+def _(s, d):
+    return two(s, d)[1]
+
+
+@query("h03_node_rows", f"{TWO}, k AS (SELECT a, b, layer FROM layered WHERE layer > 1 UNION ALL SELECT b, a, layer FROM layered WHERE layer > 1) SELECT l2, layer, count(*)::BIGINT AS n, min(b) AS lo, max(b) AS hi FROM k JOIN l2 ON node = a GROUP BY 1, 2")
+def _(s, d):
+    """The crossing edges of each layer-2 node by layer."""
+    e, l2 = two(s, d)
+    return E.node_cross_edges(l2, e, CODEC).groupBy("l2", "layer").agg(F.count("*").alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi"))
+
+
+@query("h04_layer_above", f"{TWO}, {spread_sql('top_cc', 'SELECT p.l2 AS a, q.l2 AS b FROM layered JOIN l2 p ON p.node = a JOIN l2 q ON q.node = b WHERE layer < 4', 'SELECT DISTINCT l2 AS node FROM l2')} SELECT node AS child, root AS parent_root FROM top_cc")
+def _(s, d):
+    e, l2 = two(s, d)
+    return E.layer_above(l2, e, CODEC, 4)
+
+
+@query("h05_children_of_chunks", f"{TWO} SELECT (g.x // 2, g.y // 2, g.z // 2)::VARCHAR AS at, count(DISTINCT l2)::BIGINT AS n, min(l2) AS lo, max(l2) AS hi FROM l2 JOIN grid g ON g.node = l2.node GROUP BY 1")
+def _(s, d):
+    """Layer-2 nodes below each chunk of layer 3."""
+    c = [F.floor(CODEC.coordinate(F.col("l2"), i) / 2).cast("string") for i in range(3)]
+    l2 = two(s, d)[1].select("l2").distinct()
+    return l2.groupBy(F.concat(F.lit("("), F.concat_ws(", ", *c), F.lit(")")).alias("at")).agg(F.count("*").alias("n"), F.min("l2").alias("lo"), F.max("l2").alias("hi"))
+
+
+@query("e11_active_edges", f"{TWO}, m AS (SELECT l2.node, l2 FROM l2 JOIN grid g ON g.node = l2.node WHERE sv % 5 <> 0) SELECT a, b, layer > 1 OR coalesce(p.l2 = q.l2, false) AS active, p.l2 IS NULL OR q.l2 IS NULL AS isolated FROM layered LEFT JOIN m p ON p.node = a LEFT JOIN m q ON q.node = b")
 def _(s, d):
-    return E.layer_two(nodes(s, d).select("node"), placed_edges(s, d), CODEC)
+    e, l2 = two(s, d)
+    kept = nodes(s, d).filter("sv % 5 <> 0").select("node")
+    return E.active_edges(e, l2.join(kept, "node", "left_semi"), LAYER(F.col("a"), F.col("b")) > 1)
 
 
-@query("h04_layer_above")
+@query("e17_component_cross_edges", f"{TWO} SELECT root, layer, count(*)::BIGINT AS n FROM layered JOIN inner_cc ON node = a WHERE layer > 1 GROUP BY 1, 2")
 def _(s, d):
-    e = placed_edges(s, d)
-    return E.layer_above(E.layer_two(nodes(s, d).select("node"), e, CODEC), e, CODEC, 4)
+    """Crossing edges whose first end lies in a component, by layer."""
+    e, l2 = two(s, d)
+    cc = G.connected_components(e.filter(LAYER(F.col("a"), F.col("b")) == 1).unionAll(l2.select(F.col("node").alias("a"), F.col("node").alias("b"))))
+    return E.component_cross_edges(cc, e.withColumn("layer", LAYER(F.col("a"), F.col("b"))).filter("layer > 1")).groupBy("root", "layer").agg(F.count("*").alias("n"))
 
 
 @query("i12_undo_chains", f"WITH RECURSIVE {X.LOG_SQL}, w(operation_id, target, undone) AS (SELECT operation_id, coalesce(undo_of, redo_of), undo_of IS NOT NULL FROM log WHERE coalesce(undo_of, redo_of) IS NOT NULL UNION ALL SELECT w.operation_id, coalesce(l.undo_of, l.redo_of), undone <> (l.undo_of IS NOT NULL) FROM w JOIN log l ON l.operation_id = target WHERE coalesce(l.undo_of, l.redo_of) IS NOT NULL) SELECT w.operation_id, target, undone FROM w LEFT JOIN log l ON l.operation_id = target WHERE coalesce(l.undo_of, l.redo_of) IS NULL")
@@ -176,10 +263,11 @@ def _(s, d):
     return placed_edges(s, d).select("a", "b", (gap <= 3).alias("allowed"))
 
 
-@query("j01_lockable", f"SELECT user_id AS root, NOT bool_or(event_type IN ('signup', 'error') OR ts > TIMESTAMP '{T}' - INTERVAL 3 MINUTE) AS free FROM events WHERE ts <= TIMESTAMP '{T}' AND event_id % 20 = user_id % 20 GROUP BY 1")
+@query("j01_lockable", f"SELECT user_id * 1000 + (props->>'$.k')::BIGINT AS root, NOT bool_or(event_type IN ('signup', 'error') OR ts > TIMESTAMP '{T}' - INTERVAL 3 MINUTE) AS free FROM events WHERE ts <= TIMESTAMP '{T}' GROUP BY 1")
 def _(s, d):
     kind = F.when(F.col("event_type") == "signup", "indefinite").when(F.col("event_type") == "error", "superseded").otherwise("lock")
-    return E.lockable(X.table(s, d, "events").filter("event_id % 20 = user_id % 20").select(F.col("user_id").alias("root"), "ts", kind.alias("kind")), T)
+    root = F.col("user_id") * 1000 + F.get_json_object("props", "$.k").cast("long")
+    return E.lockable(X.table(s, d, "events").select(root.alias("root"), "ts", kind.alias("kind")), T)
 
 
 @query("j04_consolidated_lock_time", "SELECT user_id AS root, CASE WHEN bool_or(event_type = 'view') AND bool_or(event_type = 'click') THEN epoch_us(min(ts)) END AS us FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
@@ -204,10 +292,10 @@ REACH = f"WITH RECURSIVE {X.LINEAGE_SQL}"
 
 
 def starts(s, d):
-    return X.roots(s, d).filter("root % 20 = 0").select(F.col("root").alias("start"))
+    return X.roots(s, d).select(F.col("root").alias("start"))
 
 
-@query("k01_latest_root_ids", REACH + ", w(start, root) AS (SELECT root, root FROM roots WHERE root % 20 = 0 UNION SELECT start, new_root FROM w JOIN lineage ON old_root = root) SELECT start, root FROM w WHERE root NOT IN (SELECT old_root FROM lineage)")
+@query("k01_latest_root_ids", REACH + ", w(start, root) AS (SELECT root, root FROM roots UNION SELECT start, new_root FROM w JOIN lineage ON old_root = root) SELECT start, root FROM w WHERE root NOT IN (SELECT old_root FROM lineage)")
 def _(s, d):
     lin = X.lineage(s, d)
     every = K.closure(lin, starts(s, d)).unionAll(starts(s, d).select("start", F.col("start").alias("root")))
@@ -215,7 +303,7 @@ def _(s, d):
 
 
 for _name, _fwd, _sql in (("k02_future_roots", True, "SELECT start, new_root FROM w JOIN lineage ON old_root = root"), ("k02_past_roots", False, "SELECT start, old_root FROM w JOIN lineage ON new_root = root")):
-    query(_name, REACH + f", w(start, root) AS (SELECT root, root FROM roots WHERE root % 20 = 0 UNION {_sql}) SELECT start, root FROM w WHERE start <> root")(lambda s, d, fwd=_fwd: K.closure(X.lineage(s, d), starts(s, d), fwd))
+    query(_name, REACH + f", w(start, root) AS (SELECT root, root FROM roots UNION {_sql}) SELECT start, root FROM w WHERE start <> root")(lambda s, d, fwd=_fwd: K.closure(X.lineage(s, d), starts(s, d), fwd))
 
 
 @query("k03_previous_roots", f"WITH {X.LINEAGE_SQL} SELECT new_root, old_root FROM lineage")
@@ -265,7 +353,7 @@ def _(s, d):
     return K.kind_of(X.log(s, d)).filter("op IN ('merge', 'split')").select("operation_id", "user", (F.col("op") == "merge").alias("is_merge"), "status")
 
 
-@query("k15_user_operations", "WITH RECURSIVE" + X.LOG_SQL.replace("raw AS", " raw AS", 1) + ", w(operation_id, target, undone) AS (SELECT operation_id, coalesce(undo_of, redo_of), undo_of IS NOT NULL FROM log WHERE coalesce(undo_of, redo_of) IS NOT NULL UNION ALL SELECT w.operation_id, coalesce(l.undo_of, l.redo_of), undone <> (l.undo_of IS NOT NULL) FROM w JOIN log l ON l.operation_id = target WHERE coalesce(l.undo_of, l.redo_of) IS NOT NULL), last AS (SELECT target, arg_max(undone, operation_id) AS undone FROM w GROUP BY 1) SELECT operation_id, \"user\", op FROM kinds LEFT JOIN last ON target = operation_id WHERE op IN ('merge', 'split') AND NOT coalesce(undone, false) AND NOT (op = 'split' AND n_roots < 2) AND status = 0")
+@query("k15_user_operations", f"WITH {X.LOG_SQL}, last AS (SELECT coalesce(undo_of, redo_of) AS target, arg_max(undo_of IS NOT NULL, operation_id) AS undone FROM log WHERE status = 0 AND coalesce(undo_of, redo_of) IS NOT NULL GROUP BY 1) SELECT operation_id, \"user\", op FROM kinds LEFT JOIN last ON target = operation_id WHERE op IN ('merge', 'split') AND NOT coalesce(undone, false) AND NOT (op = 'split' AND n_roots < 2) AND status = 0")
 def _(s, d):
     return K.standing(X.log(s, d)).filter("NOT (op = 'split' AND n_roots < 2) AND status = 0").select("operation_id", "user", "op")
 
@@ -309,9 +397,9 @@ def _(s, d):
     return X.table(s, d, "orders").select(F.col("o_custkey").alias("k")).intersect(X.table(s, d, "events").select("user_id"))
 
 
-@query("m14_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("m14_except", "SELECT o_custkey AS k FROM orders EXCEPT SELECT user_id FROM events")
 def _(s, d):
-    return X.table(s, d, "customer").select(F.col("c_custkey").alias("k")).subtract(X.table(s, d, "orders").select("o_custkey"))
+    return X.table(s, d, "orders").select(F.col("o_custkey").alias("k")).subtract(X.table(s, d, "events").select("user_id"))
 
 
 @query("m23_running_offset", "SELECT o_custkey, o_orderkey, (sum(len(o_orderpriority)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - len(o_orderpriority))::BIGINT AS start FROM orders")

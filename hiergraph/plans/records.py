@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import log_n
+from ..functions.mesh import quantization, quantization_origin
+from ..operators import chunks as C
+from ..operators import edges as E
 from ..operators import edits as EDITS
 from ..operators import graph as G
 from ..operators import hierarchy as H
 from ..operators import history as K
-from ..sources.files import get_components, put_components
+from ..operators import space as V
+from ..operators.graph import scratch
+from ..sources.files import get_chunk_edges, get_components, manifest, put_chunk_edges, put_components, put_fragments, read_cells, write_cells
 from . import fixtures as X
-from .graphs import REACH, T, nodes, placed_edges, starts
+from .graphs import PLACED, REACH, T, nodes, placed_edges, starts
 from .tree import CODEC
 
 Q: dict = {}
@@ -27,11 +36,11 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-@query("a09_component_lists", "SELECT DISTINCT o_custkey AS chunk, o_orderkey AS sv FROM orders")
+@query("a09_component_lists", "SELECT o_custkey AS chunk, (dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority[1:1]::INT) - 1)::INT AS component, o_orderkey AS sv FROM orders")
 def _(s, d):
     """Written as run-length lists, one component per priority, and read back."""
     c = X.table(s, d, "orders").select(F.col("o_custkey").alias("chunk"), F.substring("o_orderpriority", 1, 1).cast("int").alias("component"), F.col("o_orderkey").alias("sv"))
-    return get_components(put_components(c)).select("chunk", "sv").distinct()
+    return get_components(put_components(c))
 
 
 @query("a10_raw_edges", "SELECT l_orderkey AS sv1, l_partkey AS sv2, CASE WHEN l_returnflag = 'N' THEN -1 ELSE round(l_discount * 100)::BIGINT END AS aff, CASE WHEN l_returnflag = 'N' THEN 1 ELSE l_linenumber END::INT AS area FROM lineitem")
@@ -56,9 +65,8 @@ def _(s, d):
 def _(s, d):
     """From an hour before the last export to an hour before the newest entry, by whole hours; failed ones get their own kind."""
     log = X.log(s, d)
-    top = log.agg(F.date_trunc("HOUR", (F.max("ts") - F.expr("INTERVAL 1 HOUR")).cast("timestamp")).cast("timestamp_ntz")).first()[0]
-    at = F.lit(top.isoformat(" ")).cast("timestamp_ntz")
-    return log.filter((F.col("ts") >= at - F.expr("INTERVAL 7 DAYS")) & (F.col("ts") < at)).select("operation_id", F.when(F.col("status") == 2, "log_failed").otherwise("log").alias("kind"))
+    top = log.agg(F.date_trunc("HOUR", (F.max("ts") - F.expr("INTERVAL 1 HOUR")).cast("timestamp")).cast("timestamp_ntz").alias("top"))
+    return log.crossJoin(F.broadcast(top)).filter((F.col("ts") >= F.col("top") - F.expr("INTERVAL 7 DAYS")) & (F.col("ts") < F.col("top"))).select("operation_id", F.when(F.col("status") == 2, "log_failed").otherwise("log").alias("kind"))
 
 
 @query("a26_ids_as_text", f"WITH {X.LINEAGE_SQL} SELECT '{{\"root\":\"' || root::VARCHAR || '\"}}' AS body FROM roots")
@@ -66,25 +74,51 @@ def _(s, d):
     return X.roots(s, d).select(F.to_json(F.struct(F.col("root").cast("string").alias("root"))).alias("body"))
 
 
-@query("i02_inactive_edges", X.components_sql("aff >= 8") + ", q AS (SELECT e.a AS source, e.b AS sink, p.root AS r, s.root AS t FROM edges e JOIN cc p ON p.node = a JOIN cc s ON s.node = b WHERE aff = 5 AND p.root <> s.root) SELECT DISTINCT source, sink, e.a, e.b FROM q JOIN cc x ON x.root = r JOIN edges e ON e.a = x.node OR e.b = x.node JOIN cc y ON y.root = t AND (e.a = y.node OR e.b = y.node) WHERE aff < 8")
-def _(s, d):
-    """For merges of the ends of edges of affinity 5: the inactive edges between the two components the ends lie in."""
+def asked_merges(s, d):
+    """(edges, components at affinity 8, merges of the ends of edges of affinity 5)."""
     e = G.checkpointed(X.edges(s, d).select("a", "b", "aff"))
     cc = G.checkpointed(G.connected_components(e.filter("aff >= 8")))
-    named = lambda c, r: cc.select(F.col("node").alias(c), F.col("root").alias(r))
-    j = e.filter("aff < 8").join(named("a", "ra"), "a").join(named("b", "rb"), "b").filter("ra <> rb")
-    keyed = j.select("a", "b", "aff", F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi"))
-    asked = keyed.filter("aff = 5").select(F.col("a").alias("source"), F.col("b").alias("sink"), "lo", "hi")
-    return asked.join(keyed, ["lo", "hi"]).select("source", "sink", "a", "b").distinct()
+    return e, cc, e.filter("aff = 5").select(F.struct("a", "b").alias("operation_id"), F.col("a").alias("source"), F.col("b").alias("sink"))
+
+
+def between_sql(asked: str, cols: str) -> str:
+    """Inactive edges between the components of asked pairs (source, sink), by their components in order."""
+    return f"kx AS (SELECT e.a, e.b, least(x.root, y.root) AS lo, greatest(x.root, y.root) AS hi FROM edges e JOIN cc x ON x.node = e.a JOIN cc y ON y.node = e.b WHERE aff < 8 AND x.root <> y.root), q AS (SELECT o.*, least(x.root, y.root) AS lo, greatest(x.root, y.root) AS hi FROM ({asked}) o JOIN cc x ON x.node = source JOIN cc y ON y.node = sink WHERE x.root <> y.root) SELECT DISTINCT {cols}, kx.a, kx.b FROM q JOIN kx ON kx.lo = q.lo AND kx.hi = q.hi"
+
+
+@query("i02_inactive_edges", X.components_sql("aff >= 8") + ", " + between_sql("SELECT a AS source, b AS sink FROM edges WHERE aff = 5", "source, sink"))
+def _(s, d):
+    """For merges of the ends of edges of affinity 5: the inactive edges between the two components the ends lie in."""
+    e, cc, asked = asked_merges(s, d)
+    return E.inactive_between(e, cc, asked, "aff >= 8").select("operation_id.a", "operation_id.b", F.col("a").alias("x"), F.col("b").alias("y")).toDF("source", "sink", "a", "b")
+
+
+@query("e16_activated_edges", X.components_sql("aff >= 8") + ", log AS (SELECT l_orderkey AS operation_id, min(" + X.SV + ") AS source, max(" + X.SV + ") AS sink FROM lineitem GROUP BY 1), " + between_sql("SELECT * FROM log", "operation_id"))
+def _(s, d):
+    """Edges that merging an order's least and greatest supervoxels turns active, judged on the state just before."""
+    e, cc, _ = asked_merges(s, d)
+    return E.inactive_between(e, cc, order_merges(s, d), "aff >= 8")
 
 
-@query("j02_lock_winners", f"WITH {X.LINEAGE_SQL}, w AS (SELECT operation_id, user_id AS root FROM lineage JOIN events ON event_id + 1 = operation_id WHERE lineage.ts::DATE = DATE '2024-01-15'), f AS (SELECT root, min(operation_id) AS first FROM w GROUP BY 1) SELECT operation_id, bool_and(operation_id = first) AS gets FROM w JOIN f USING (root) GROUP BY 1")
+def order_merges(s, d):
+    return X.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("operation_id")).agg(F.min(F.expr(X.SV)).alias("source"), F.max(F.expr(X.SV)).alias("sink"))
+
+
+@query("i03_fake_edges", X.components_sql("aff >= 8") + ", log AS (SELECT l_orderkey AS operation_id, min(" + X.SV + ") AS source, max(" + X.SV + ") AS sink FROM lineitem GROUP BY 1), apart AS (SELECT log.* FROM log JOIN cc x ON x.node = source JOIN cc y ON y.node = sink WHERE x.root <> y.root), found AS (" + "WITH " + between_sql("SELECT * FROM apart", "operation_id") + ") SELECT operation_id, a, b, false AS fake FROM found UNION ALL SELECT operation_id, source, sink, true FROM apart WHERE operation_id NOT IN (SELECT operation_id FROM found)")
+def _(s, d):
+    """Merges of an order's least and greatest supervoxels: the inactive edges between their components, or a fake edge."""
+    e, cc, _ = asked_merges(s, d)
+    asked = order_merges(s, d)
+    named = lambda c: cc.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    apart = asked.join(named("source"), "source").join(named("sink"), "sink").filter("rsource <> rsink").select("operation_id", F.col("source").alias("a"), F.col("sink").alias("b"))
+    return EDITS.fake_edges(apart, E.inactive_between(e, cc, asked, "aff >= 8"))
+
+
+@query("j02_lock_winners", f"WITH {X.LINEAGE_SQL}, w AS (SELECT DISTINCT operation_id, user_id * 100 + day(lineage.ts) AS root FROM lineage JOIN events ON event_id + 1 = operation_id), f AS (SELECT root, min(operation_id) AS first FROM w GROUP BY 1) SELECT operation_id, bool_and(operation_id = first) AS gets FROM w JOIN f USING (root) GROUP BY 1")
 def _(s, d):
-    """Operations that want roots (here: users): one gets its locks iff it comes first at each of them."""
-    e = X.table(s, d, "events").select((F.col("event_id") + 1).alias("operation_id"), F.col("user_id").alias("root"))
-    w = X.lineage(s, d).filter("to_date(ts) = DATE'2024-01-15'").select("operation_id").join(e, "operation_id")
-    first = w.groupBy("root").agg(F.min("operation_id").alias("first"))
-    return w.join(first, "root").groupBy("operation_id").agg(F.bool_and(F.col("operation_id") == F.col("first")).alias("gets"))
+    """Operations that want roots (here: a user's of one day): one gets its locks iff it comes first at each of them."""
+    root = (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("root")
+    return E.lock_winners(X.lineage(s, d).select("operation_id").distinct().join(X.table(s, d, "events").select((F.col("event_id") + 1).alias("operation_id"), root), "operation_id"))
 
 
 @query("j03_renewable", f"WITH {X.LINEAGE_SQL} SELECT old_root, operation_id, operation_id = min(operation_id) OVER (PARTITION BY old_root) AND new_root NOT IN (SELECT old_root FROM lineage) AS renews FROM lineage")
@@ -101,22 +135,56 @@ def _(s, d):
     return X.table(s, d, "orders").groupBy(F.col("o_custkey").alias("chunk")).agg(F.max("o_orderkey").alias("top"))
 
 
-@query("k04_root_history", REACH + ", f(start, root) AS (SELECT root, root FROM roots WHERE root % 20 = 0 UNION SELECT start, new_root FROM f JOIN lineage ON old_root = root), p(start, root) AS (SELECT root, root FROM roots WHERE root % 20 = 0 UNION SELECT start, old_root FROM p JOIN lineage ON new_root = root) SELECT start, root FROM f UNION SELECT start, root FROM p")
+@query("k04_root_history", REACH + ", f(start, root) AS (SELECT root, root FROM roots UNION SELECT start, new_root FROM f JOIN lineage ON old_root = root), p(start, root) AS (SELECT root, root FROM roots UNION SELECT start, old_root FROM p JOIN lineage ON new_root = root) SELECT start, root FROM f UNION SELECT start, root FROM p")
 def _(s, d):
     lin, st = X.lineage(s, d), starts(s, d)
     return K.closure(lin, st).unionAll(K.closure(lin, st, False)).unionAll(st.select("start", F.col("start").alias("root"))).distinct()
 
 
-@query("k07_proofread_roots", f"WITH {X.LINEAGE_SQL} SELECT operation_id, old_root, new_root FROM lineage WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '{T}'")
+@query("k07_proofread_roots", f"WITH {X.LINEAGE_SQL} SELECT operation_id, old_root, new_root FROM lineage WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '{T}'")
+def _(s, d):
+    """Both ends of the window count."""
+    return X.lineage(s, d).filter(f"ts BETWEEN timestamp_ntz'2024-01-10 00:00:00' AND timestamp_ntz'{T}'").select("operation_id", "old_root", "new_root")
+
+
+@query("k09_past_operations", REACH + ", p(start, root) AS (SELECT root, root FROM roots UNION SELECT start, old_root FROM p JOIN lineage ON new_root = root) SELECT DISTINCT start, operation_id FROM p JOIN lineage ON new_root = root")
 def _(s, d):
-    return X.lineage(s, d).filter(f"ts >= timestamp_ntz'2024-01-10 00:00:00' AND ts < timestamp_ntz'{T}'").select("operation_id", "old_root", "new_root")
+    return K.past_operations(X.lineage(s, d), starts(s, d))
+
 
+BOTH_WAYS = REACH + ", f(start, root) AS (SELECT root, root FROM roots UNION SELECT start, new_root FROM f JOIN lineage ON old_root = root), p(start, root) AS (SELECT root, root FROM roots UNION SELECT start, old_root FROM p JOIN lineage ON new_root = root), g AS (SELECT start, old_root, new_root, operation_id FROM p JOIN lineage ON new_root = root UNION SELECT start, old_root, new_root, operation_id FROM f JOIN lineage ON old_root = root)"
 
-@query("k09_past_operations", REACH + ", p(start, root) AS (SELECT root, root FROM roots WHERE root % 20 = 0 UNION SELECT start, old_root FROM p JOIN lineage ON new_root = root) SELECT DISTINCT start, operation_id FROM p JOIN lineage ON new_root = root")
+
+@query("k05_lineage_graph", BOTH_WAYS + " SELECT * FROM g")
 def _(s, d):
+    return K.lineage_graph(X.lineage(s, d), starts(s, d))
+
+
+@query("k22_lineage_json", BOTH_WAYS + """, n AS (SELECT start, old_root AS node FROM g UNION SELECT start, new_root FROM g), ns AS (SELECT start, string_agg(node, ',' ORDER BY node) AS nodes FROM n GROUP BY 1), ls AS (SELECT start, string_agg('[' || old_root || ',' || new_root || ']', ',' ORDER BY old_root, new_root) AS links FROM (SELECT DISTINCT start, old_root, new_root FROM g) GROUP BY 1) SELECT start, '{"nodes":[' || nodes || '],"links":[' || links || ']}' AS graph FROM ns JOIN ls USING (start)""")
+def _(s, d):
+    return K.node_link(K.lineage_graph(X.lineage(s, d), starts(s, d)))
+
+
+@query("k13_id_mappings", BOTH_WAYS + ", degree AS (SELECT r AS root, count(*) FILTER (WHERE o) AS n_out, count(*) FILTER (WHERE NOT o) AS n_in, min(other) FILTER (WHERE o) AS next FROM (SELECT old_root AS r, true AS o, new_root AS other FROM lineage UNION ALL SELECT new_root, false, old_root FROM lineage) GROUP BY 1), firsts AS (SELECT start, root AS past_id FROM p WHERE root NOT IN (SELECT new_root FROM lineage)), t AS (SELECT f.start AS past_id, bool_or(coalesce(d.n_out, 0) = 2) AS two, count(*) FILTER (WHERE coalesce(d.n_out, 0) = 0) AS ends, bool_or(d.n_out = 1 AND e.n_in = 1) AS whole, min(f.root) FILTER (WHERE coalesce(d.n_out, 0) = 0) AS last FROM f LEFT JOIN degree d ON d.root = f.root LEFT JOIN degree e ON e.root = d.next WHERE f.start IN (SELECT past_id FROM firsts) GROUP BY 1) SELECT start, firsts.past_id, CASE WHEN NOT two AND ends = 1 AND NOT coalesce(whole, false) THEN last END AS future_id FROM firsts LEFT JOIN t ON t.past_id = firsts.past_id")
+def _(s, d):
+    return K.id_mappings(X.lineage(s, d), starts(s, d))
+
+
+@query("k10_tabular_changelog", REACH + ", p(start, root) AS (SELECT root, root FROM roots UNION SELECT start, old_root FROM p JOIN lineage ON new_root = root), past AS (SELECT DISTINCT start AS root, operation_id FROM p JOIN lineage ON new_root = root), ends AS (SELECT event_id + 1 AS operation_id, event_id AS sv FROM chain WHERE old_root IS NOT NULL UNION ALL SELECT event_id + 1, old_root // 2 FROM chain WHERE old_root IS NOT NULL), j AS (SELECT past.root, past.operation_id, sv, CASE WHEN e.event_type = 'click' AND e.old_root IS NOT NULL THEN 2 * sv + 1 ELSE 2 * (past.root // 2) END AS now_root FROM past JOIN ends USING (operation_id) JOIN chain e ON e.event_id = sv), per AS (SELECT root, operation_id, bool_and(now_root = root) AS all_in, bool_or(now_root = root) AS any_in, count(DISTINCT now_root) AS n_now, count(DISTINCT sv) AS n_first FROM j GROUP BY 1, 2) SELECT root, operation_id, \"user\", op <> 'click' AS is_merge, CASE WHEN op <> 'click' THEN all_in ELSE any_in END AS in_neuron, CASE WHEN op <> 'click' THEN n_first <> 1 ELSE n_now <> 1 END AS is_relevant, (SELECT count(*) FROM lineage l WHERE l.operation_id = per.operation_id)::INT AS n_after FROM per JOIN (SELECT event_id + 1 AS operation_id, user_id AS \"user\", event_type AS op FROM events) USING (operation_id)")
+def _(s, d):
+    """Supervoxels are events; one that comes by a click is split off, the others stay in the newest main root of their day."""
     lin, st = X.lineage(s, d), starts(s, d)
-    every = K.closure(lin, st, False).unionAll(st.select("start", F.col("start").alias("root")))
-    return every.join(lin.select(F.col("new_root").alias("root"), "operation_id"), "root").select("start", "operation_id").distinct()
+    e = X.table(s, d, "events")
+    log = e.select((F.col("event_id") + 1).alias("operation_id"), "ts", F.col("user_id").alias("user"), (F.col("event_type") != "click").alias("is_merge"))
+    came = lin.groupBy("operation_id", "old_root").agg(F.lit(1).alias("one"))
+    ends = came.select("operation_id", F.explode(F.array(F.col("operation_id") - 1, F.floor(F.col("old_root") / 2))).alias("sv"))
+    split = came.join(log.filter("NOT is_merge"), "operation_id").select((F.col("operation_id") - 1).alias("sv"), F.lit(True).alias("split"))
+    past = G.checkpointed(K.past_operations(lin, st))
+    asked = past.select(F.col("start").alias("root"), "operation_id").join(ends, "operation_id").select("root", "sv").distinct()
+    now = asked.join(split, "sv", "left").select("root", "sv", F.when(F.col("split"), 2 * F.col("sv") + 1).otherwise(2 * F.floor(F.col("root") / 2)).alias("now_root"))
+    first = e.select(F.col("event_id").alias("sv"), (2 * F.col("event_id")).alias("first_root"))
+    rows = K.changelog(past, log, ends, now, first, lin)
+    return rows.select("root", "operation_id", "user", "is_merge", "in_neuron", "is_relevant", F.size("after").alias("n_after"))
 
 
 @query("k12_merge_log", f"WITH {X.LOG_SQL} SELECT operation_id, \"user\", n_added FROM kinds WHERE op = 'merge' AND status = 0")
@@ -140,7 +208,7 @@ def _(s, d):
 
 def united_sql(condition: str) -> str:
     """(node, least): each supervoxel of FX-GRID and the least one that edges of the condition join it to."""
-    return X.components_sql(condition) + f", {X.GRID_SQL} SELECT g.node AS node, min(g.node) OVER (PARTITION BY coalesce(c.root, -1 - p_partkey)) AS least FROM grid g LEFT JOIN cc c ON c.node = p_partkey"
+    return X.components_sql(condition) + f", {X.GRID_SQL} SELECT g.node AS node, min(g.node) OVER (PARTITION BY coalesce(c.root, -1 - g.sv)) AS least FROM grid g LEFT JOIN cc c ON c.node = g.sv"
 
 
 def edited(s, d, add: str | None, remove: str | None):
@@ -162,3 +230,147 @@ def _(s, d):
 @query("i05_remove_edges", united_sql("aff >= 9"))
 def _(s, d):
     return edited(s, d, None, "aff = 8")
+
+
+@query("i01_undo_restores", united_sql("aff >= 8"))
+def _(s, d):
+    """The edges of affinity 7 are added and taken out again: the partition is the old one."""
+    svs = nodes(s, d).select("node")
+    e = G.checkpointed(placed_edges(s, d).select("a", "b", "aff"))
+    one = EDITS.build(svs, e.filter("aff >= 8").select("a", "b"), CODEC, "2024-01-01 00:00:00")
+    two = EDITS.apply_edits(one.parents, one.edges, CODEC, "2024-01-02 00:00:00", e.filter("aff = 7").select("a", "b"))
+    added, removed = EDITS.undone(e.filter("aff = 7").select("a", "b", F.lit(True).alias("added")))
+    rows = one.parents.unionAll(two.parents)
+    three = EDITS.apply_edits(rows, two.edges, CODEC, "2024-01-03 00:00:00", added, removed)
+    of = G.checkpointed(H.roots(svs.select(F.col("node").alias("id")), rows.unionAll(three.parents), CODEC.layers))
+    return of.join(of.groupBy("root").agg(F.min("id").alias("least")), "root").select(F.col("id").alias("node"), "least")
+
+
+CHECKED = f"SELECT l_orderkey AS operation_id, {X.L} + l_orderkey * 8 + min(l_linenumber) AS a, CASE WHEN l_orderkey % 7 = 0 THEN {X.L} + l_orderkey * 8 + min(l_linenumber) WHEN l_orderkey % 7 = 1 THEN 2 * {X.L} + l_orderkey WHEN l_orderkey % 7 = 2 THEN {X.L} + l_orderkey * 8 + 0 ELSE {X.L} + (l_orderkey + 1) * 8 + 1 END AS b FROM lineitem GROUP BY 1"
+REGION = f"reg AS (SELECT DISTINCT {X.L} + l_orderkey * 8 + l_linenumber AS sv, n_regionkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"
+
+
+def checked_pairs(s, d):
+    k, n = F.col("l_orderkey"), F.min("l_linenumber")
+    first = X.L + k * 8 + F.col("n")
+    i = X.table(s, d, "lineitem").groupBy("l_orderkey").agg(n.alias("n"))
+    other = F.when(k % 7 == 0, first).when(k % 7 == 1, 2 * X.L + k).when(k % 7 == 2, X.L + k * 8).otherwise(X.L + (k + 1) * 8 + 1)
+    return i.select(k.alias("operation_id"), first.alias("a"), other.alias("b"))
+
+
+def checked_sql(last: str) -> str:
+    return f"WITH asked AS ({CHECKED}), {REGION} SELECT operation_id, CASE WHEN a = b THEN '{'self loop' if last == 'one root' else 'source is sink'}' WHEN a >= {2 * X.L} OR b >= {2 * X.L} THEN 'not a supervoxel' WHEN p.n_regionkey IS NULL OR q.n_regionkey IS NULL THEN 'unknown node' WHEN p.n_regionkey {'=' if last == 'one root' else '<>'} q.n_regionkey THEN '{last}' END AS error FROM asked LEFT JOIN reg p ON p.sv = a LEFT JOIN reg q ON q.sv = b"
+
+
+@query("i09_checked_merges", checked_sql("one root"))
+def _(s, d):
+    return EDITS.checked_merges(checked_pairs(s, d), X.parents(s, d), CODEC).select("operation_id", "error")
+
+
+@query("i10_checked_splits", checked_sql("several roots"))
+def _(s, d):
+    return EDITS.checked_splits(checked_pairs(s, d), X.parents(s, d), CODEC).select("operation_id", "error")
+
+
+def ops(s, d):
+    return X.log(s, d).select("operation_id", (F.col("k") % 11 != 0).alias("locked"), (F.col("k") % 7 != 0).alias("valid"), (F.col("status") == 2).alias("raised"))
+
+
+OPS = "ops AS (SELECT operation_id, k % 7 <> 0 AS valid, status = 2 AS raised FROM log WHERE k % 11 <> 0)"
+
+
+@query("i08_transaction_log", f"WITH {X.LOG_SQL}, {OPS}, t AS (SELECT operation_id, CASE WHEN raised THEN ['created', 'exception'] WHEN NOT valid THEN ['created'] ELSE ['created', 'write_started', 'success'] END AS said FROM ops) SELECT operation_id, (unnest(range(len(said))))::INT AS step, unnest(said) AS status FROM t")
+def _(s, d):
+    return EDITS.transactions(ops(s, d))
+
+
+@query("i15_repairable", f"WITH {X.LOG_SQL}, {OPS} SELECT operation_id, 'write_started' AS status FROM ops WHERE valid AND NOT raised AND operation_id % 3 = 0")
+def _(s, d):
+    """Operations whose last row is the start of their write; here the success of every third is lost."""
+    rows = EDITS.transactions(ops(s, d)).filter("NOT (status = 'success' AND operation_id % 3 = 0)")
+    return EDITS.repairable(rows)
+
+
+@query("a07_chunk_edges", f"WITH {PLACED} SELECT ax AS cx, ay AS cy, az AS cz, a, b, aff, area FROM placed WHERE ax < 4 AND ay < 4 AND az < 4")
+def _(s, d):
+    """Written by chunk and read back for the chunks of one octant."""
+    e = placed_edges(s, d)
+    at = scratch(s, f"edges-{uuid.uuid4()}")
+    put_chunk_edges(e.select(*(CODEC.coordinate(F.col("a"), i).cast("int").alias(f"c{c}") for i, c in enumerate("xyz")), "a", "b", "aff", "area"), at)
+    box = [(x, y, z) for x in range(4) for y in range(4) for z in range(4)]
+    return get_chunk_edges(s, at, box).select(*(F.col(c).cast("long").alias(c) for c in ("cx", "cy", "cz")), "a", "b", "aff", "area")
+
+
+@query("a16_bulk_write", "SELECT user_id AS row, (props->>'$.k')::BIGINT AS col, arg_max(event_type, event_id) AS value FROM events GROUP BY 1, 2")
+def _(s, d):
+    """Two writes of cells, of which the last by event counts."""
+    e = X.table(s, d, "events").select(F.col("user_id").alias("row"), F.get_json_object("props", "$.k").cast("long").alias("col"), F.col("event_id").alias("order"), F.col("event_type").alias("value"))
+    at = scratch(s, f"cells-{uuid.uuid4()}")
+    for half in ("ts < timestamp_ntz'2024-01-15 00:00:00'", "ts >= timestamp_ntz'2024-01-15 00:00:00'"):
+        write_cells(X.table(s, d, "events").filter(half).select("event_id").join(e.withColumn("event_id", F.col("order")), "event_id").drop("event_id"), at)
+    return read_cells(s, at)
+
+
+@query("a22_chunk_volume", f"WITH {X.VOXELS_SQL} SELECT x, y, z, sv FROM voxels WHERE x >= 10 AND x < 21 AND y >= 2 AND y < 7 AND z >= 10 AND z < 31")
+def _(s, d):
+    """A chunk of the voxels with an overlap of one, clamped to the volume."""
+    return V.chunk_volume(X.voxels(s, d), (10, 2, 10), (10, 5, 20), (51, 7, 32))
+
+
+@query("a23_stored_manifest", "SELECT o_custkey AS id, o_orderkey AS fragment, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS found FROM orders")
+def _(s, d):
+    """Fragments written as binary, then the manifest of each customer's orders."""
+    at = scratch(s, f"fragments-{uuid.uuid4()}")
+    i = X.table(s, d, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("fragment")).agg(F.concat_ws(",", F.collect_list(F.col("l_partkey").cast("string"))).cast("binary").alias("data"))
+    put_fragments(i, at)
+    return manifest(X.table(s, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("fragment")), s.read.parquet(at))
+
+
+@query("e09_fake_edges_at", f"SELECT l_suppkey AS chunk, l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_shipdate <= TIMESTAMP '1995-06-17' AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)")
+def _(s, d):
+    stored = X.table(s, d, "lineitem").select(F.col("l_suppkey").alias("chunk"), F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"))
+    return E.fake_edges_at(stored, X.table(s, d, "supplier").filter("s_nationkey = 3").select(F.col("s_suppkey").alias("chunk")), "1995-06-17 00:00:00")
+
+
+@query("b09_log_n", "SELECT o_orderkey, round(ln(o_totalprice + 1) / ln(2.0), 6) AS bits FROM orders")
+def _(s, d):
+    return X.table(s, d, "orders").select("o_orderkey", F.round(log_n(F.col("o_totalprice") + 1, 2), 6).alias("bits"))
+
+
+@query("b15_quantization", f"WITH {X.GRID_SQL}, c AS (SELECT DISTINCT l::INT AS layer, x // (2 ** (l - 2))::BIGINT AS cx, y // (2 ** (l - 2))::BIGINT AS cy, z // (2 ** (l - 2))::BIGINT AS cz FROM grid, range(2, 6) t(l)), r AS (SELECT l::INT AS layer, greatest((128 * 2 ** (l - 2) + 1) * 16, (64 * 2 ** (l - 2) + 1) * 40) AS least FROM range(2, 6) t(l)), b AS (SELECT layer, least, ceil(log2(least / 11 + 1))::INT + i AS bits FROM r, range(8) t(i)), w AS (SELECT *, ceil(least / (2 ** bits - 1)) AS size FROM b), v AS (SELECT *, size * (2 ** bits - 1) < least + size AS short FROM w), k AS (SELECT layer, min(bits)::INT AS bits FROM v WHERE NOT (short AND size = 11) GROUP BY 1), q AS (SELECT v.layer, v.bits, CASE WHEN short THEN size + 1 ELSE size END AS bin FROM v JOIN k ON k.layer = v.layer AND k.bits = v.bits) SELECT c.layer, cx, cy, cz, bits, bin::BIGINT AS bin, (bin * (2 ** bits - 1))::BIGINT AS span, (o - o % bin::BIGINT)::BIGINT AS origin FROM (SELECT *, (cx * 128 * (2 ** (layer - 2))::BIGINT * 16)::BIGINT AS o FROM c) c JOIN q ON q.layer = c.layer")
+def _(s, d):
+    """Quantisation of every chunk: blocks of 128 x 128 x 64 voxels of 16 x 16 x 40 nm at the finest layer, bins of at most 11 nm."""
+    c = C.parents(X.grid(s, d, CODEC).select("x", "y", "z").distinct(), CODEC, 2).select("layer", F.col("px").alias("cx"), F.col("py").alias("cy"), F.col("pz").alias("cz")).distinct()
+    width = F.pow(F.lit(2.0), F.col("layer") - 2)
+    q = quantization(F.greatest((128 * width + 1) * 16, (64 * width + 1) * 40), 11.0)
+    rows = c.withColumn("q", q).withColumn("o", (F.col("cx") * 128 * width * 16).cast("long"))
+    return rows.select("layer", "cx", "cy", "cz", "q.bits", F.col("q.bin").cast("long").alias("bin"), F.col("q.range").cast("long").alias("span"), quantization_origin(F.col("o"), F.col("q.bin").cast("long")).alias("origin"))
+
+
+@query("c11_container_chunks", "WITH f AS (SELECT x, y, z, k AS axis FROM range(8) a(x), range(8) b(y), range(8) c(z), range(3) t(k) WHERE (CASE k WHEN 0 THEN x WHEN 1 THEN y ELSE z END) < 7) SELECT x, y, z, axis::INT AS axis, x + (axis = 0)::INT + i AS cx, y + (axis = 1)::INT + j AS cy, z + (axis = 2)::INT + l AS cz FROM f, range(-1, 1) p(i), range(-1, 1) q(j), range(-1, 1) r(l) WHERE (CASE axis WHEN 0 THEN i WHEN 1 THEN j ELSE l END) = -1 AND x + (axis = 0)::INT + i BETWEEN 0 AND 7 AND y + (axis = 1)::INT + j BETWEEN 0 AND 7 AND z + (axis = 2)::INT + l BETWEEN 0 AND 7")
+def _(s, d):
+    faces = C.grid(s, 8).withColumn("axis", F.explode(F.array(*map(F.lit, range(3))))).filter(F.get(F.array("x", "y", "z"), F.col("axis")) < 7)
+    return C.container_chunks(faces, (8, 8, 8))
+
+
+@query("g16_point_clusters", "WITH RECURSIVE pts AS (SELECT c_custkey AS point, c_custkey * 7919 % 1000 AS x, c_custkey * 104729 % 1000 AS y, c_custkey * 1299709 % 1000 AS z FROM customer), w AS (SELECT a.point AS a, b.point AS b FROM pts a JOIN pts b ON a.point <> b.point AND abs(a.x - b.x) < 60 AND abs(a.y - b.y) < 60 AND abs(a.z - b.z) < 60 WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 < 3600), cc(point, cluster) USING KEY (point) AS (SELECT point, point FROM pts UNION SELECT w.b, min(n.cluster) FROM cc n JOIN w ON w.a = n.point JOIN recurring.cc k ON k.point = w.b WHERE n.cluster < k.cluster GROUP BY w.b) SELECT point, cluster FROM cc")
+def _(s, d):
+    k = F.col("c_custkey")
+    return V.clusters(X.table(s, d, "customer").select(k.alias("point"), (k * 7919 % 1000).alias("x"), (k * 104729 % 1000).alias("y"), (k * 1299709 % 1000).alias("z")), 60)
+
+
+@query("m17_combinations", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def _(s, d):
+    """All pairs within a group, by an equi-join on it."""
+    n = X.table(s, d, "nation")
+    a, b = n.select("n_regionkey", F.col("n_nationkey").alias("a")), n.select("n_regionkey", F.col("n_nationkey").alias("b"))
+    return a.join(b, "n_regionkey").filter("a < b").select("a", "b")
+
+
+@query("m22_by_frequency", "SELECT l_partkey, count(*)::BIGINT AS n, (rank() OVER (ORDER BY count(*)))::INT AS place FROM lineitem GROUP BY 1")
+def _(s, d):
+    """Keys by rising frequency; ranks come from the few distinct counts, not from a sort of all keys in one task."""
+    n = X.table(s, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    of = n.groupBy("n").agg(F.count("*").alias("keys"))
+    before = F.sum("keys").over(Window.partitionBy(F.lit(0)).orderBy("n")) - F.col("keys")
+    return n.join(of.select("n", (before + 1).cast("int").alias("place")), "n").select("l_partkey", "n", "place")

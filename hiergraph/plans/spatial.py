@@ -9,9 +9,10 @@ from ..operators import chunks as C
 from ..operators import edges as E
 from ..operators import graph as G
 from ..operators import hierarchy as H
+from ..operators import multicut as M
 from ..operators import space as V
 from . import fixtures as X
-from .graphs import LAYER, PLACED, cut_input, nodes, placed_edges
+from .graphs import BIG, LAYER, PLACED, cut_teams, nodes, placed_edges
 from .tree import CODEC, DOWN, L, ORDERS, leaves, nations, order_ids
 
 Q: dict = {}
@@ -81,7 +82,7 @@ def _(s, d):
 @query("d12_bounding_l2_children", f"WITH {X.GRID_SQL} SELECT DISTINCT {up_sql(4)} AS seed, {up_sql(2)} AS node FROM grid WHERE x % 4 IN (0, 3) OR y % 4 IN (0, 3) OR z % 4 IN (0, 3)")
 def _(s, d):
     seeds = nodes(s, d).select(C.ancestor(CODEC, F.col("node"), 4).alias("seed")).distinct()
-    down = H.descend(seeds, spatial_parents(s, d), CODEC.layers).filter("layer = 2")
+    down = H.descend(seeds, spatial_tree(s, d)[1].drop("ts"), CODEC.layers).filter("layer = 2")
     return down.filter(C.on_boundary(CODEC, F.col("node"), 4)).select("seed", "node")
 
 
@@ -120,16 +121,16 @@ def _(s, d):
     return r.join(counts, "root").select(F.col("id").alias("node"), "root", (F.col("n") == 1).alias("safe"))
 
 
-@query("d22_nearest_supervoxel", f"WITH {X.VOXELS_SQL}, p AS (SELECT o_orderkey AS point, o_orderkey // 50 % 50 + 1 AS px, o_orderkey // 50 % 7 + 1 AS py, o_orderkey // 50 % 28 + 1 AS pz FROM orders WHERE o_orderkey % 50 = 0), j AS (SELECT point, sv, (x-px)*(x-px)+(y-py)*(y-py)+(z-pz)*(z-pz) AS d2 FROM p, voxels WHERE abs(x-px) <= 4 AND abs(y-py) <= 4 AND abs(z-pz) <= 4) SELECT point, arg_min(sv, (d2, sv)) AS sv, min(d2) AS d2 FROM j WHERE d2 <= 16 GROUP BY 1")
+@query("d22_nearest_supervoxel", f"WITH {X.VOXELS_SQL}, p AS (SELECT o_orderkey AS point, o_orderkey % 50 + 1 AS px, o_orderkey // 50 % 7 + 1 AS py, o_orderkey // 350 % 28 + 1 AS pz FROM orders), j AS (SELECT point, sv, (x-px)*(x-px)+(y-py)*(y-py)+(z-pz)*(z-pz) AS d2 FROM p, voxels WHERE abs(x-px) <= 4 AND abs(y-py) <= 4 AND abs(z-pz) <= 4) SELECT point, arg_min(sv, (d2, sv)) AS sv, min(d2) AS d2 FROM j WHERE d2 <= 16 GROUP BY 1")
 def _(s, d):
-    k = F.floor(F.col("o_orderkey") / 50)
-    p = X.table(s, d, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("point"), (k % 50 + 1).alias("x"), (k % 7 + 1).alias("y"), (k % 28 + 1).alias("z"))
+    k = F.col("o_orderkey")
+    p = X.table(s, d, "orders").select(k.alias("point"), (k % 50 + 1).alias("x"), (F.floor(k / 50) % 7 + 1).alias("y"), (F.floor(k / 350) % 28 + 1).alias("z"))
     return V.nearest(p, X.voxels(s, d), 4)
 
 
-@query("d23_valid_nodes", f"WITH {X.parents_sql()} SELECT c_custkey FROM customer WHERE 3*{L}+c_custkey IN (SELECT parent_id FROM parents WHERE ts >= TIMESTAMP '1994-01-01' AND ts < TIMESTAMP '1995-01-01')")
+@query("d23_valid_nodes", f"WITH {X.parents_sql()} SELECT c_custkey FROM customer WHERE 3*{L}+c_custkey IN (SELECT parent_id FROM parents WHERE ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '1996-02-01')")
 def _(s, d):
-    seen = X.parents(s, d).filter("ts >= timestamp_ntz'1994-01-01 00:00:00' AND ts < timestamp_ntz'1995-01-01 00:00:00'").select("parent_id")
+    seen = X.parents(s, d).filter("ts >= timestamp_ntz'1996-01-01 00:00:00' AND ts < timestamp_ntz'1996-02-01 00:00:00'").select("parent_id")
     c = X.table(s, d, "customer").select("c_custkey", X.node(3, "c_custkey").alias("parent_id"))
     return c.join(seen, "parent_id", "left_semi").select("c_custkey")
 
@@ -141,11 +142,11 @@ def _(s, d):
     return one.unionByName(two).distinct().groupBy("node", "layer").agg(F.count("*").alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"))
 
 
-PARENT = f"m AS (SELECT node AS sv, {up_sql(2)} AS l2 FROM grid WHERE p_partkey % 5 <> 0)"
+PARENT = f"m AS (SELECT node AS sv, {up_sql(2)} AS l2 FROM grid WHERE sv % 5 <> 0)"
 
 
 def mapping(s, d):
-    return nodes(s, d).filter("p_partkey % 5 <> 0").select(F.col("node").alias("sv"), C.ancestor(CODEC, F.col("node"), 2).alias("l2"))
+    return nodes(s, d).filter("sv % 5 <> 0").select(F.col("node").alias("sv"), C.ancestor(CODEC, F.col("node"), 2).alias("l2"))
 
 
 def by_parent(s, d):
@@ -248,18 +249,13 @@ def _(s, d):
     return q.join(k.select(F.col("l2").alias("a")), "a", "left_semi").join(k.select(F.col("l2").alias("b")), "b", "left_semi").select("a", "b")
 
 
-@query("g13_cut_separates")
+@query("g13_cut_separates", X.components_sql("aff >= 8") + BIG + " SELECT root AS op_id, true AS apart FROM big")
 def _(s, d):
     """(op_id, apart): whether source and sink lie in different components once the minimum cut is removed."""
-    e = cut_input(s, d)
-    e = G.checkpointed(e)
-    cut = G.min_cuts(e).select("op_id", "a", "b")
-    left = e.select("op_id", "a", "b").join(cut, ["op_id", "a", "b"], "left_anti")
-    every = left.select("a", "b").unionAll(e.select(F.col("a"), F.col("a").alias("b"))).unionAll(e.select(F.col("b").alias("a"), "b"))
-    cc = G.connected_components(every)
-    ends = e.select("op_id", "source", "sink").distinct()
-    j = ends.join(cc.select(F.col("node").alias("source"), F.col("root").alias("p")), "source").join(cc.select(F.col("node").alias("sink"), F.col("root").alias("q")), "sink")
-    return j.select("op_id", (F.col("p") != F.col("q")).alias("apart"))
+    e, teams = cut_teams(s, d)
+    ends = teams.groupBy("op_id").pivot("team", ["source", "sink"]).agg(F.min("node"))
+    cuts = G.min_cuts(e.join(ends, "op_id")).withColumn("error", F.lit(None).cast("string"))
+    return M.checked_cuts(e, teams, cuts).select("op_id", F.col("parted").alias("apart"))
 
 
 @query("h06_skip_connections", f"WITH {CROSS}, lone AS (SELECT {up_sql(3)} AS node, count(DISTINCT {up_sql(2)}) AS n FROM grid GROUP BY 1), lay AS (SELECT {up_sql(3, 'ax', 'ay', 'az')} AS node, min(layer) AS k FROM cr WHERE layer >= 3 GROUP BY 1) SELECT l.node, (CASE WHEN n = 1 THEN coalesce(k, 5) ELSE 4 END)::INT AS parent_layer FROM lone l LEFT JOIN lay ON lay.node = l.node")
@@ -291,9 +287,9 @@ def _(s, d):
     return points.join(n, "vertex").select("x", "y", "z", F.col("vertex.fragment").alias("fragment"), "n")
 
 
-@query("l05_dirty_chunks", f"WITH {X.GRID_SQL} SELECT DISTINCT l::INT AS layer, x // (2 ** greatest(0, l - 2))::BIGINT AS px, y // (2 ** greatest(0, l - 2))::BIGINT AS py, z // (2 ** greatest(0, l - 2))::BIGINT AS pz FROM grid, range(2, 5) t(l) WHERE p_partkey % 97 = 0")
+@query("l05_dirty_chunks", f"WITH {X.GRID_SQL} SELECT DISTINCT l::INT AS layer, x // (2 ** greatest(0, l - 2))::BIGINT AS px, y // (2 ** greatest(0, l - 2))::BIGINT AS py, z // (2 ** greatest(0, l - 2))::BIGINT AS pz FROM grid, range(2, 5) t(l) WHERE sv % 97 = 0")
 def _(s, d):
-    n = X.grid(s, d, CODEC).filter("p_partkey % 97 = 0").select("x", "y", "z").distinct()
+    n = X.grid(s, d, CODEC).filter("sv % 97 = 0").select("x", "y", "z").distinct()
     return C.parents(n, CODEC, 2).filter("layer < 5").select("layer", "px", "py", "pz").distinct()
 
 
@@ -305,3 +301,36 @@ def _(s, d):
     has = down.filter("node % 3 = 0")
     above = p.filter("parent_id % 3 = 0").join(has.filter("layer = 3").select(F.col("node").alias("parent_id")), "parent_id", "left_semi").select(F.col("child_id").alias("node"))
     return has.join(above, "node", "left_anti").select("seed", "node")
+
+
+def edge_kinds_sql(box: str) -> str:
+    """The spatial hierarchy's edges below each layer-4 node, of supervoxels whose finest chunks meet a box."""
+    return f"WITH {BOTH}, lv AS (SELECT node, {up_sql(4)} AS seed FROM grid WHERE {box}), m AS (SELECT p.seed, a, b, layer, q.node IS NOT NULL AS inside FROM two_way JOIN lv p ON p.node = a LEFT JOIN lv q ON q.node = b AND q.seed = p.seed), k AS (SELECT seed, a, b, CASE WHEN layer > 1 THEN 'cross' WHEN inside THEN 'in' ELSE 'out' END AS kind FROM m) SELECT seed, kind, count(*)::BIGINT AS n, min(a) AS lo, max(b) AS hi FROM k WHERE kind <> 'in' OR a < b GROUP BY 1, 2"
+
+
+BOX = ((1, 6), (0, 4), (3, 8))
+BOX_SQL = "x + 1 > 1 AND x < 6 AND y < 4 AND z + 1 > 3"
+
+
+def spatial_tree(s, d):
+    seeds = nodes(s, d).select(C.ancestor(CODEC, F.col("node"), 4).alias("seed")).distinct()
+    return seeds, G.checkpointed(spatial_parents(s, d).distinct()).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+@query("d07_nodes_in_box", f"WITH {X.GRID_SQL}, k AS (SELECT {up_sql(4)} AS seed, {up_sql(3)} AS n3, {up_sql(2)} AS n2, x // 2 AS tx, y // 2 AS ty, z // 2 AS tz, {BOX_SQL} AS hit FROM grid) SELECT seed, 4 AS layer, seed AS node FROM k UNION SELECT seed, 3, n3 FROM k WHERE tx * 2 + 2 > 1 AND tx * 2 < 6 AND ty * 2 < 4 AND tz * 2 + 2 > 3 UNION SELECT seed, 2, n2 FROM k WHERE hit")
+def _(s, d):
+    """Descent from every layer-4 node to layer 2, pruned by a box."""
+    seeds, p = spatial_tree(s, d)
+    return H.descend_in_box(seeds, p.select("child_id", "parent_id"), CODEC, BOX)
+
+
+@query("d08_subgraph_edges", edge_kinds_sql("true"))
+def _(s, d):
+    seeds, p = spatial_tree(s, d)
+    return H.subgraph(seeds, p, placed_edges(s, d), CODEC)[1].groupBy("seed", "kind").agg(F.count("*").alias("n"), F.min("a").alias("lo"), F.max("b").alias("hi"))
+
+
+@query("d08_subgraph_edges_in_box", edge_kinds_sql(BOX_SQL))
+def _(s, d):
+    seeds, p = spatial_tree(s, d)
+    return H.subgraph(seeds, p, placed_edges(s, d), CODEC, BOX)[1].groupBy("seed", "kind").agg(F.count("*").alias("n"), F.min("a").alias("lo"), F.max("b").alias("hi"))

@@ -49,11 +49,11 @@ def _(s, d):
     return X.table(s, d, "events").filter("user_id = 3 AND ts >= timestamp_ntz'2024-01-05 00:00:00' AND ts < timestamp_ntz'2024-01-20 00:00:00'").select("event_id", "value")
 
 
-@query("a06_range_read_chunk", f"WITH {X.GRID_SQL} SELECT node, p_partkey FROM grid WHERE x = 3 AND y = 2 AND z = 1")
+@query("a06_range_read_chunk", f"WITH {X.GRID_SQL} SELECT node, sv FROM grid WHERE x = 3 AND y = 2 AND z = 1")
 def _(s, d):
     g = X.grid(s, d, CODEC)
     first = CODEC.pack(F.lit(1), F.lit(3), F.lit(2), F.lit(1))
-    return g.filter(F.col("node").between(first, first + CODEC.segment_limit(F.lit(1)))).select("node", "p_partkey")
+    return g.filter(F.col("node").between(first, first + CODEC.segment_limit(F.lit(1)))).select("node", "sv")
 
 
 @query("a12_collect_edges", "SELECT l_partkey AS sv1, l_suppkey AS sv2, sum(round(l_discount * 100)::BIGINT)::BIGINT AS aff, count(*)::BIGINT AS area FROM lineitem GROUP BY 1, 2")
@@ -71,9 +71,9 @@ def _(s, d):
     return X.voxels(s, d).filter("x BETWEEN 5 AND 9 AND y BETWEEN 1 AND 3 AND z < 20")
 
 
-@query("a25_text_ids", f"WITH {X.GRID_SQL} SELECT p_partkey, lpad(node::VARCHAR, 20, '0') AS text_id FROM grid")
+@query("a25_text_ids", f"WITH {X.GRID_SQL} SELECT sv, lpad(node::VARCHAR, 20, '0') AS text_id FROM grid")
 def _(s, d):
-    return X.grid(s, d, CODEC).select("p_partkey", padded(F.col("node")).alias("text_id"))
+    return X.grid(s, d, CODEC).select("sv", padded(F.col("node")).alias("text_id"))
 
 
 @query("b01_codec", f"WITH {X.GRID_SQL} SELECT node, 1 AS layer, x, y, z, seg, node - seg AS chunk_id, {2**26 - 1}::BIGINT AS seg_limit FROM grid")
@@ -108,10 +108,10 @@ def _(s, d):
     return t.select("p_partkey", F.regexp_extract("b", r"^(\d+)-(\d+)_", 1).cast("int").alias("x0"), F.regexp_extract("b", r"^(\d+)-(\d+)_", 2).cast("int").alias("x1"))
 
 
-@query("b14_mesh_name", f"WITH {X.GRID_SQL} SELECT p_partkey, node::VARCHAR || ':0:' || x * 512 || '-' || (x + 1) * 512 || '_' || y * 512 || '-' || (y + 1) * 512 || '_' || z * 64 || '-' || (z + 1) * 64 AS mesh FROM grid")
+@query("b14_mesh_name", f"WITH {X.GRID_SQL} SELECT sv, node::VARCHAR || ':0:' || x * 512 || '-' || (x + 1) * 512 || '_' || y * 512 || '-' || (y + 1) * 512 || '_' || z * 64 || '-' || (z + 1) * 64 AS mesh FROM grid")
 def _(s, d):
     side = lambda c, w: F.concat_ws("-", F.col(c) * w, (F.col(c) + 1) * w)
-    return X.grid(s, d, CODEC).select("p_partkey", F.concat_ws(":", "node", F.lit("0"), F.concat_ws("_", side("x", 512), side("y", 512), side("z", 64))).alias("mesh"))
+    return X.grid(s, d, CODEC).select("sv", F.concat_ws(":", "node", F.lit("0"), F.concat_ws("_", side("x", 512), side("y", 512), side("z", 64))).alias("mesh"))
 
 
 @query("b16_path_mean", "SELECT l_orderkey, round(exp(avg(ln(l_quantity))), 6) AS m FROM lineitem GROUP BY 1")
@@ -129,9 +129,9 @@ def _(s, d):
     return C.children(C.grid(s, 4), CODEC, 3)
 
 
-@query("c03_parent_chunks", f"WITH {X.GRID_SQL} SELECT p_partkey, l::INT AS layer, floor(x / 2 ** greatest(0, l - 2))::BIGINT AS px, floor(y / 2 ** greatest(0, l - 2))::BIGINT AS py, floor(z / 2 ** greatest(0, l - 2))::BIGINT AS pz FROM grid, range(1, 6) t(l)")
+@query("c03_parent_chunks", f"WITH {X.GRID_SQL} SELECT sv, l::INT AS layer, floor(x / 2 ** greatest(0, l - 2))::BIGINT AS px, floor(y / 2 ** greatest(0, l - 2))::BIGINT AS py, floor(z / 2 ** greatest(0, l - 2))::BIGINT AS pz FROM grid, range(1, 6) t(l)")
 def _(s, d):
-    return C.parents(X.grid(s, d, CODEC).select("p_partkey", "x", "y", "z"), CODEC, 1)
+    return C.parents(X.grid(s, d, CODEC).select("sv", "x", "y", "z"), CODEC, 1)
 
 
 @query("c04_bounding_chunks", "SELECT x, y, z FROM range(4) a(x), range(4) b(y), range(4) c(z) WHERE x IN (0, 3) OR y IN (0, 3) OR z IN (0, 3)")
@@ -219,9 +219,9 @@ def _(s, d):
     return H.descend(nations(s, d), X.parents(s, d), X.LAYERS, 3).filter("layer = 3").select("seed", "node")
 
 
-@query("d11_first_shared_parent", X.climb_sql(f"SELECT 2*{L}+o_orderkey AS id FROM orders WHERE o_orderkey < 4000") + f", pairs AS (SELECT 2*{L}+o_orderkey AS a, 2*{L}+o_orderkey+1 AS b FROM orders WHERE o_orderkey < 3999 AND o_orderkey + 1 IN (SELECT o_orderkey FROM orders)) SELECT a, b, min(p.ancestor) AS shared FROM pairs LEFT JOIN (path p JOIN path q ON p.ancestor = q.ancestor) ON p.id = a AND q.id = b GROUP BY a, b")
+@query("d11_first_shared_parent", X.climb_sql(ORDERS) + f", pairs AS (SELECT 2*{L}+o_orderkey AS a, 2*{L}+o_orderkey+1 AS b FROM orders WHERE o_orderkey + 1 IN (SELECT o_orderkey FROM orders)) SELECT a, b, min(p.ancestor) AS shared FROM pairs LEFT JOIN (path p JOIN path q ON p.ancestor >= {2 * L} AND p.ancestor = q.ancestor AND p.id + 1 = q.id) ON p.id = a AND q.id = b GROUP BY a, b")
 def _(s, d):
-    o = order_ids(s, d).filter(F.col("id") < 2 * L + 4000)
+    o = order_ids(s, d)
     p = o.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     return H.lowest_common(p.join(o.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b"), X.parents(s, d), X.LAYERS)
 
