@@ -1,15 +1,15 @@
 """Operator 8 [native], benchmark decontamination by a positional inverted index.
 
-The index is stored once, as Parquet in the shared checkpoint folder: a posting is (th, term, did, pos), th the
-term's 64-bit hash, did a number of the document; each file holds the postings of some documents, sorted by term. So
-no posting list is ever gathered in one place and building it needs no shuffle. A mark, the posting at position 0,
-carries a document's id, text hash and number of words.
+The index is stored once, as Parquet in the shared checkpoint folder: a posting is (th, check, did, pos), th and check two
+64-bit hashes that stand for the term, did a number of the document; each file holds the postings of some documents, sorted
+by term. So no posting list is ever gathered in one place and building it needs no shuffle. A mark, the posting at
+position 0, carries a document's id, text hash and number of words.
 
 Test windows are looked up list by list, rarest term first (by counts over the whole index):
 
 1. postings of each window's rarest term give places where it could start;
 2. the list of its second rarest term, offset-adjusted, is intersected with those;
-3. the lists of all its terms are, for the few places left, with the terms compared as text.
+3. the lists of all its terms are, for the few places left, with both hashes of each term.
 
 Lookups are broadcast joins in blocks: at most WINDOWS_EACH windows, then at most DOCUMENTS_EACH document numbers at a
 time, each block limited to its range of term hashes or document numbers, which Parquet's statistics prune by. Any
@@ -59,15 +59,18 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", s
     return w.select("item", "w", at).select("item", "at", F.slice("w", F.col("at") + 1, F.lit(size)).alias("words"))
 
 
+def term_hashes(term: str) -> tuple[Column, Column]:
+    """The 128 bits by which the index knows a term."""
+    return F.xxhash64(term).alias("th"), F.xxhash64(F.lit(8), F.col(term)).alias("check")
+
+
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the postings of all texts to ``path`` and read them back; position 0 is a mark, words follow from 1."""
     text = F.col(f"`{text_col}`").cast("string")
     w = docs.select(F.monotonically_increasing_id().alias("did"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("key"), F.concat(F.array(F.lit(_MARK)), tokens(text)).alias("w"))
-    # One sort column is sorted by radix, which keeps the order of documents and positions within a term.
-    flat = w.select("did", "id", "key", (F.size("w") - 1).cast("long").alias("n_words"), F.posexplode("w").alias("pos", "term"))
-    at_mark = F.col("pos") == 0
-    marked = [F.when(at_mark, F.col(c)).alias(c) for c in ("id", "key", "n_words")]
-    flat.select(F.xxhash64("term").alias("th"), "term", "did", "pos", *marked).sortWithinPartitions("th").write.parquet(path)
+    flat = w.select("did", F.struct("id", "key", (F.size("w") - 1).cast("long").alias("n_words")).alias("doc"), F.posexplode("w").alias("pos", "term"))
+    # One sort column is sorted by radix, which keeps the order of documents and positions within a term; rows are kept short for it.
+    flat.select(*term_hashes("term"), "did", "pos", F.when(F.col("pos") == 0, F.col("doc")).alias("doc")).sortWithinPartitions("th").write.parquet(path)
     return open_index(docs.sparkSession, path)
 
 
@@ -132,8 +135,8 @@ def phrase_matches(index: DataFrame, test: DataFrame, windows_each: int = WINDOW
         text = F.broadcast(words.join(F.broadcast(mine.select("wid")), "wid", "left_semi").select("wid", "items", "words"))  # as bounded
         for some, all_of in _of_documents(index, left, documents_each):
             asked = some.join(text, "wid").select("did", "start", "items", F.size("words").alias("size"), "wid", F.posexplode("words").alias("o", "term"))
-            asked = asked.withColumn("pos", F.col("start") + F.col("o"))
-            met = asked.join(all_of.select("did", "pos", "term"), ["did", "pos", "term"]).groupBy("did", "start", "wid").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("items").alias("items"))
+            asked = asked.select("did", "start", "items", "size", "wid", (F.col("start") + F.col("o")).alias("pos"), *term_hashes("term"))
+            met = asked.join(all_of.select("did", "pos", "th", "check"), ["did", "pos", "th", "check"]).groupBy("did", "start", "wid").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("items").alias("items"))
             found.append(checkpointed(met.filter("n = size").select("did", "items", (F.col("start") - 1).alias("start"), "size")))
     return _union(found) if found else index.sparkSession.createDataFrame([], "did long, items array<string>, start int, size int")
 
@@ -141,14 +144,15 @@ def phrase_matches(index: DataFrame, test: DataFrame, windows_each: int = WINDOW
 def proximity_matches(index: DataFrame, pairs: DataFrame, within: int = 8, pairs_each: int = WINDOWS_EACH) -> DataFrame:
     """(did, a, b, pos_a, pos_b): for each place of a word a the nearest place of b at most ``within`` words off (the earlier of two
     as near), of word pairs (a, b). The lists meet in cells of ``within`` words, so nothing longer than a cell is compared."""
-    pairs = checkpointed(pairs.select("a", "b").distinct().withColumns({"th": F.xxhash64("a"), "wid": F.xxhash64("a", "b")}))
+    (ta, ca), (tb, cb) = term_hashes("a"), term_hashes("b")
+    pairs = checkpointed(pairs.select("a", "b", ta, ca, tb.alias("tb"), cb.alias("cb")).distinct().withColumn("wid", F.xxhash64("a", "b")))
     found = []
     for mine in _blocks(pairs, pairs_each):
-        mine = mine.select("a", "b")
         cell = F.floor(F.col("pos") / within)
-        words = index.filter("pos > 0").select("did", "pos", "term")
-        left = words.join(F.broadcast(mine), words["term"] == mine["a"]).select("did", "a", "b", F.col("pos").alias("pa"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-        right = words.join(F.broadcast(mine.select("b").distinct()), F.col("term") == F.col("b")).select("did", "b", F.col("pos").alias("pb"), cell.alias("cell"))
+        words = index.filter("pos > 0").select("did", "pos", "th", "check")
+        left = words.join(F.broadcast(mine.select("th", "check", "a", "b")), ["th", "check"]).select("did", "a", "b", F.col("pos").alias("pa"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+        others = mine.select(F.col("tb").alias("th"), F.col("cb").alias("check"), "b").distinct()
+        right = words.join(F.broadcast(others), ["th", "check"]).select("did", "b", F.col("pos").alias("pb"), cell.alias("cell"))
         near = left.join(right, ["did", "b", "cell"]).filter((F.abs(F.col("pa") - F.col("pb")) <= within) & (F.col("pa") != F.col("pb")))
         best = near.groupBy("did", "a", "b", "pa").agg(F.min(F.struct(F.abs(F.col("pb") - F.col("pa")).alias("d"), "pb"))["pb"].alias("pb"))
         found.append(best.select("did", "a", "b", (F.col("pa") - 1).alias("pos_a"), (F.col("pb") - 1).alias("pos_b")))
@@ -157,7 +161,7 @@ def proximity_matches(index: DataFrame, pairs: DataFrame, within: int = 8, pairs
 
 def described(index: DataFrame) -> DataFrame:
     """(did, id, key, n_words): the documents of an index."""
-    return index.filter(F.col("th") == F.xxhash64(F.lit(_MARK))).filter("pos = 0").select("did", "id", "key", "n_words")
+    return index.filter(F.col("th") == F.xxhash64(F.lit(_MARK))).filter("pos = 0").select("did", "doc.id", "doc.key", "doc.n_words")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
