@@ -520,6 +520,68 @@ def test_pii_terms_and_text(spark):
     assert got[0] == "write to [term], who is at [email] now; [term]" and got[9] == t[9][1]
 
 
-def test_pipeline(spark, small):
-    d = corpus_pipeline.run(spark, small)
-    assert d.count() > 0 and {"doc_id", "text", "source", "replica"} <= set(d.columns)
+def brute_pipeline(spark, d):
+    """{(doc_id, text, n_chars, replica): copies}: the model's decisions, then each stage by plain loops."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    bad = {(r.doc_id) for r in toxicity.score(docs, model).filter("predicted = 1").collect()}
+    rows = [(r.doc_id, r.text or "", r.source) for r in docs.collect() if r.doc_id not in bad]
+    low = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t)
+    key = lambda x: low(x.strip(" \t\n\x0b\x0c\r"))
+    held = {}
+    for i, t, _ in rows:
+        for k in {key(x) for x in t.split("\n")}:
+            held.setdefault(k, set()).add(i)
+    gone = lambda i, x: len(key(x)) >= 20 and len(held[key(x)]) >= 3 and max(held[key(x)]) != i
+    rows = [(i, "\n".join(x for x in t.split("\n") if not gone(i, x)), s) for i, t, s in rows]
+    words = {i: WORD.findall(low(t)) for i, t, _ in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    rows = [r for r in rows if find(r[0]) == r[0]]
+    windows = set()
+    for r in spark.read.parquet(f"{d}/benchmark.parquet").collect():
+        w = WORD.findall(low(r.text or ""))
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    rows = [r for r in rows if not any(tuple(words[r[0]][k : k + n]) in windows for n in sizes for k in range(len(words[r[0]]) - n + 1))]
+    count = Counter(s or "" for _, _, s in rows)
+    tables = {s: mixing.poisson_table(len(rows) / len(count) / n) for s, n in count.items()}
+    out = Counter()
+    for i, t, s in rows:
+        u = (int(hashlib.md5(f"9-draw|{i}|{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+        first, cdf = tables[s or ""]
+        out.update((i, t, len(t), k) for k in range(first + int(np.searchsorted(cdf, u))))
+    return out
+
+
+def test_pipeline_against_brute_force(spark, small):
+    got = corpus_pipeline.run(spark, small)
+    want = brute_pipeline(spark, small)
+    assert Counter((r.doc_id, r.text, r.n_chars, r.replica) for r in got.collect()) == want and len(want) > 50
+    assert set(corpus_pipeline.COLUMNS) | {"replica", "replicas", "rate", "shuffle_key"} == set(got.columns)
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, columns named like those of the stages, and empty tables."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rate string, row string, id long, terms string"
+    rows = [(i, t, None, "s" if i and i % 2 else None, 3, "r", "w", 7, None) for i, t in ODD]
+    for name, data in (("full", rows), ("empty", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(data, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, 0, None), (None, 1, 1), (2, None, None)] if data else [], "doc_id long, toxic int, quality int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "never there")] if data else [], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, d)
+        assert {"rate", "mix_rate", "row", "id", "terms", "replica"} <= set(got.columns)
+        assert (got.count() > 0) == bool(data)
