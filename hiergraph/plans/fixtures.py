@@ -93,9 +93,9 @@ EDGES_SQL = f"""edges AS (SELECT a, b, count(*)::BIGINT AS area, max(disc) AS af
 def components_sql(condition: str) -> str:
     """cc(node, root) of the edges that meet the condition; least labels spread until none falls."""
     return f"""WITH RECURSIVE {EDGES_SQL},
-both_ways AS (SELECT a, b FROM edges WHERE {condition} UNION SELECT b, a FROM edges WHERE {condition}),
+both_ways AS MATERIALIZED (SELECT a, b FROM edges WHERE {condition} UNION SELECT b, a FROM edges WHERE {condition}),
 cc(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM both_ways
-  UNION SELECT w.b, min(n.root) FROM cc n JOIN both_ways w ON w.a = n.node JOIN recurring.cc k ON k.node = w.b WHERE n.root < k.root GROUP BY w.b)"""
+  UNION SELECT w.b, w.r FROM (SELECT w.b, min(n.root) AS r FROM cc n JOIN both_ways w ON w.a = n.node GROUP BY w.b) w JOIN recurring.cc k ON k.node = w.b WHERE w.r < k.root)"""
 
 
 def log(s: SparkSession, d: str) -> DataFrame:

@@ -188,7 +188,7 @@ def _(s, d):
 
 def spread_sql(name: str, pairs: str, nodes: str) -> str:
     """name(node, root): least labels over undirected pairs (a, b), of all nodes (node)."""
-    return f"{name}_ways AS (SELECT a, b FROM ({pairs}) UNION SELECT b, a FROM ({pairs})), {name}(node, root) USING KEY (node) AS (SELECT node, node FROM ({nodes}) UNION SELECT w.b, min(n.root) FROM {name} n JOIN {name}_ways w ON w.a = n.node JOIN recurring.{name} k ON k.node = w.b WHERE n.root < k.root GROUP BY w.b)"
+    return f"{name}_ways AS MATERIALIZED (SELECT a, b FROM ({pairs}) UNION SELECT b, a FROM ({pairs})), {name}(node, root) USING KEY (node) AS (SELECT node, node FROM ({nodes}) UNION SELECT w.b, w.r FROM (SELECT w.b, min(n.root) AS r FROM {name} n JOIN {name}_ways w ON w.a = n.node GROUP BY w.b) w JOIN recurring.{name} k ON k.node = w.b WHERE w.r < k.root)"
 
 
 TWO = f"WITH RECURSIVE {PLACED}, {spread_sql('inner_cc', 'SELECT a, b FROM layered WHERE layer = 1', 'SELECT node FROM grid')}, l2 AS (SELECT g.node, g.node - g.seg + {L} + dense_rank() OVER (PARTITION BY g.node - g.seg ORDER BY root) AS l2 FROM inner_cc JOIN grid g ON g.node = inner_cc.node)"

@@ -104,7 +104,7 @@ def order_merges(s, d):
     return X.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("operation_id")).agg(F.min(F.expr(X.SV)).alias("source"), F.max(F.expr(X.SV)).alias("sink"))
 
 
-@query("i03_fake_edges", X.components_sql("aff >= 8") + ", log AS (SELECT l_orderkey AS operation_id, min(" + X.SV + ") AS source, max(" + X.SV + ") AS sink FROM lineitem GROUP BY 1), apart AS (SELECT log.* FROM log JOIN cc x ON x.node = source JOIN cc y ON y.node = sink WHERE x.root <> y.root), found AS (" + "WITH " + between_sql("SELECT * FROM apart", "operation_id") + ") SELECT operation_id, a, b, false AS fake FROM found UNION ALL SELECT operation_id, source, sink, true FROM apart WHERE operation_id NOT IN (SELECT operation_id FROM found)")
+@query("i03_fake_edges", X.components_sql("aff >= 8") + ", log AS (SELECT l_orderkey AS operation_id, min(" + X.SV + ") AS source, max(" + X.SV + ") AS sink FROM lineitem GROUP BY 1), apart AS MATERIALIZED (SELECT log.* FROM log JOIN cc x ON x.node = source JOIN cc y ON y.node = sink WHERE x.root <> y.root), found AS MATERIALIZED (" + "WITH " + between_sql("SELECT * FROM apart", "operation_id") + ") SELECT operation_id, a, b, false AS fake FROM found UNION ALL SELECT operation_id, source, sink, true FROM apart WHERE operation_id NOT IN (SELECT operation_id FROM found)")
 def _(s, d):
     """Merges of an order's least and greatest supervoxels: the inactive edges between their components, or a fake edge."""
     e, cc, _ = asked_merges(s, d)
@@ -353,7 +353,7 @@ def _(s, d):
     return C.container_chunks(faces, (8, 8, 8))
 
 
-@query("g16_point_clusters", "WITH RECURSIVE pts AS (SELECT c_custkey AS point, c_custkey * 7919 % 1000 AS x, c_custkey * 104729 % 1000 AS y, c_custkey * 1299709 % 1000 AS z FROM customer), w AS (SELECT a.point AS a, b.point AS b FROM pts a JOIN pts b ON a.point <> b.point AND abs(a.x - b.x) < 60 AND abs(a.y - b.y) < 60 AND abs(a.z - b.z) < 60 WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 < 3600), cc(point, cluster) USING KEY (point) AS (SELECT point, point FROM pts UNION SELECT w.b, min(n.cluster) FROM cc n JOIN w ON w.a = n.point JOIN recurring.cc k ON k.point = w.b WHERE n.cluster < k.cluster GROUP BY w.b) SELECT point, cluster FROM cc")
+@query("g16_point_clusters", "WITH RECURSIVE pts AS (SELECT c_custkey AS point, c_custkey * 7919 % 1000 AS x, c_custkey * 104729 % 1000 AS y, c_custkey * 1299709 % 1000 AS z FROM customer), w AS (SELECT a.point AS a, b.point AS b FROM pts a JOIN pts b ON a.point <> b.point AND abs(a.x - b.x) < 60 AND abs(a.y - b.y) < 60 AND abs(a.z - b.z) < 60 WHERE (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 < 3600), cc(point, cluster) USING KEY (point) AS (SELECT point, point FROM pts UNION SELECT v.b, v.r FROM (SELECT w.b, min(n.cluster) AS r FROM cc n JOIN w ON w.a = n.point GROUP BY w.b) v JOIN recurring.cc k ON k.point = v.b WHERE v.r < k.cluster) SELECT point, cluster FROM cc")
 def _(s, d):
     k = F.col("c_custkey")
     return V.clusters(X.table(s, d, "customer").select(k.alias("point"), (k * 7919 % 1000).alias("x"), (k * 104729 % 1000).alias("y"), (k * 1299709 % 1000).alias("z")), 60)

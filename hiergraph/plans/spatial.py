@@ -179,7 +179,7 @@ def _(s, d):
     return by_parent(s, d).groupBy(F.col("la").alias("l2"), "kind").agg(F.count("*").alias("n"), F.sum("area").alias("area"))
 
 
-@query("e13_subgraph_in_box", f"WITH RECURSIVE {PLACED}, bw AS (SELECT a, b FROM layered WHERE aff >= 8 UNION SELECT b, a FROM layered WHERE aff >= 8), reach(node, other) AS (SELECT DISTINCT a, a FROM bw UNION SELECT node, b FROM reach JOIN bw ON other = a), cc AS (SELECT node, min(other) AS root FROM reach GROUP BY 1) SELECT p.root, a, b, aff, area FROM layered JOIN cc p ON p.node = a JOIN cc q ON q.node = b WHERE p.root = q.root AND ax < 6 AND hx < 6 AND ay > 1 AND hy > 1")
+@query("e13_subgraph_in_box", f"WITH RECURSIVE {PLACED}, bw AS MATERIALIZED (SELECT a, b FROM layered WHERE aff >= 8 UNION SELECT b, a FROM layered WHERE aff >= 8), cc(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM bw UNION SELECT w.b, w.r FROM (SELECT w.b, min(n.root) AS r FROM cc n JOIN bw w ON w.a = n.node GROUP BY w.b) w JOIN recurring.cc k ON k.node = w.b WHERE w.r < k.root) SELECT p.root, a, b, aff, area FROM layered JOIN cc p ON p.node = a JOIN cc q ON q.node = b WHERE p.root = q.root AND ax < 6 AND hx < 6 AND ay > 1 AND hy > 1")
 def _(s, d):
     e = placed_edges(s, d)
     cc = G.connected_components(e.filter("aff >= 8"))
@@ -188,7 +188,7 @@ def _(s, d):
     return e.join(kept.select(F.col("node").alias("a"), "root"), "a").join(kept.select(F.col("node").alias("b"), "root"), ["b", "root"]).select("root", "a", "b", "aff", "area")
 
 
-@query("e14_edge_exists", f"WITH {BOTH} SELECT x.l2 AS l2, y.l2 AS other, count(*) > 0 AS found FROM two_way JOIN (SELECT node, {up_sql(2)} AS l2 FROM grid) x ON x.node = a JOIN (SELECT node, {up_sql(2)} AS l2 FROM grid) y ON y.node = b WHERE x.l2 < y.l2 GROUP BY 1, 2")
+@query("e14_edge_exists", f"WITH {BOTH} SELECT l2, other, true AS found FROM (SELECT DISTINCT {up_sql(2, 'ax', 'ay', 'az')} AS l2, {up_sql(2, 'hx', 'hy', 'hz')} AS other FROM two_way) WHERE l2 < other")
 def _(s, d):
     e = both_ways(placed_edges(s, d)).select(C.ancestor(CODEC, F.col("a"), 2).alias("l2"), C.ancestor(CODEC, F.col("b"), 2).alias("other")).filter("l2 < other")
     return e.groupBy("l2", "other").agg((F.count("*") > 0).alias("found"))
