@@ -1,9 +1,9 @@
 """Operator 8 [native], benchmark decontamination by a positional inverted index.
 
 The index is stored once, as Parquet in the shared checkpoint folder: a posting is (th, check, did, pos), th and check two
-64-bit hashes that stand for the term, did a number of the document; each file holds the postings of some documents, sorted
-by term. So no posting list is ever gathered in one place and building it needs no shuffle. A mark, the posting at
-position 0, carries a document's id, text hash and number of words.
+64-bit hashes that stand for the term, did a number of the document; each file holds the postings of a range of documents.
+So no posting list is ever gathered in one place, and building the index needs neither a shuffle nor a sort. A mark, the
+posting at position 0, carries a document's id, text hash and number of words.
 
 Test windows are looked up list by list, rarest term first (by counts over the whole index):
 
@@ -12,7 +12,7 @@ Test windows are looked up list by list, rarest term first (by counts over the w
 3. the lists of all its terms are, for the few places left, with both hashes of each term.
 
 Lookups are broadcast joins in blocks: at most WINDOWS_EACH windows, then at most DOCUMENTS_EACH document numbers at a
-time, each block limited to its range of term hashes or document numbers, which Parquet's statistics prune by. Any
+time; a block of documents is limited to its range of numbers, which Parquet's statistics prune by. Any
 number of windows takes this one path, and only postings that a block wants are shuffled. Everything is DataFrame
 functions; there is no Python.
 
@@ -37,6 +37,7 @@ from .common import checkpointed, documents, remove, scratch
 WINDOW = 10
 #: What a block of a lookup holds at most: the bound of each broadcast.
 WINDOWS_EACH, DOCUMENTS_EACH = 100_000, 1_000_000
+ROW_GROUP = 16 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands once before each text's words, so that every document has one posting.
 _MARK = "\x00"
@@ -69,8 +70,8 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     text = F.col(f"`{text_col}`").cast("string")
     w = docs.select(F.monotonically_increasing_id().alias("did"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("key"), F.concat(F.array(F.lit(_MARK)), tokens(text)).alias("w"))
     flat = w.select("did", F.struct("id", "key", (F.size("w") - 1).cast("long").alias("n_words")).alias("doc"), F.posexplode("w").alias("pos", "term"))
-    # One sort column is sorted by radix, which keeps the order of documents and positions within a term; rows are kept short for it.
-    flat.select(*term_hashes("term"), "did", "pos", F.when(F.col("pos") == 0, F.col("doc")).alias("doc")).sortWithinPartitions("th").write.parquet(path)
+    # Small row groups: they are what a writing task holds, and what a range of documents is pruned by.
+    flat.select(*term_hashes("term"), "did", "pos", F.when(F.col("pos") == 0, F.col("doc")).alias("doc")).write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return open_index(docs.sparkSession, path)
 
 
