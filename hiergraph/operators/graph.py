@@ -28,11 +28,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _compact(df: DataFrame, rows_each: int = 100_000) -> DataFrame:
-    """Checkpoint, then again in as few files as the rows need: small tables of many parts cost a file and a task each in every later round."""
+def _compact(df: DataFrame, rows_each: int = 100_000) -> tuple[DataFrame, int, object]:
+    """Checkpoint, and once more in as few files as the rows need where they are many more: small tables of many parts cost a file
+    and a task each in every later round. Also the number of rows and a sum of their hashes."""
     kept = checkpointed(df)
-    parts = 1 + kept.count() // rows_each
-    return checkpointed(kept.coalesce(parts)) if 4 * parts < kept.rdd.getNumPartitions() else kept
+    n, state = kept.agg(F.count("*"), F.sum(F.xxhash64(*kept.columns).cast("decimal(38,0)"))).first()
+    parts = 1 + n // rows_each
+    return (checkpointed(kept.coalesce(parts)) if 8 * parts < kept.rdd.getNumPartitions() else kept), n, state
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -42,19 +44,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     rounds go on until the edges stand still (about the logarithm of the longest path, never more than its length)."""
     edges = checkpointed(edges.select("a", "b"))
     lone = edges.filter("a = b").select(F.col("a").alias("node")).distinct()
-    e = _compact(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = (0, None)
-    while not e.isEmpty():
+    e, n, state = _compact(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    before = None
+    while n and (n, state) != before:
+        before = (n, state)
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        e = _compact(small.filter("u <> v").distinct())
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
+        e, n, state = _compact(small.filter("u <> v").distinct())
     known = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     return known.unionAll(lone.join(known, "node", "left_anti").select("node", F.col("node").alias("root")))
 
@@ -88,8 +87,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, within: int | None = No
         reached = front.join(both, front["node"] == both["a"]).groupBy("source", "b").agg(F.min_by("path", "a").alias("path"))
         new = reached.select("source", F.col("b").alias("node"), F.lit(len(levels)).alias("hops"), F.concat("path", F.array("b")).alias("path"))
         seen = before.select("source", "node").unionAll(front.select("source", "node"))
-        before, front = front, _compact(new.join(seen, ["source", "node"], "left_anti"))
-        if front.isEmpty():
+        before, (front, n, _) = front, _compact(new.join(seen, ["source", "node"], "left_anti"))
+        if not n:
             break
         levels.append(front)
     return reduce(DataFrame.unionAll, levels)

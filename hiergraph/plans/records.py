@@ -232,20 +232,6 @@ def _(s, d):
     return edited(s, d, None, "aff = 8")
 
 
-@query("i01_undo_restores", united_sql("aff >= 8"))
-def _(s, d):
-    """The edges of affinity 7 are added and taken out again: the partition is the old one."""
-    svs = nodes(s, d).select("node")
-    e = G.checkpointed(placed_edges(s, d).select("a", "b", "aff"))
-    one = EDITS.build(svs, e.filter("aff >= 8").select("a", "b"), CODEC, "2024-01-01 00:00:00")
-    two = EDITS.apply_edits(one.parents, one.edges, CODEC, "2024-01-02 00:00:00", e.filter("aff = 7").select("a", "b"))
-    added, removed = EDITS.undone(e.filter("aff = 7").select("a", "b", F.lit(True).alias("added")))
-    rows = one.parents.unionAll(two.parents)
-    three = EDITS.apply_edits(rows, two.edges, CODEC, "2024-01-03 00:00:00", added, removed)
-    of = G.checkpointed(H.roots(svs.select(F.col("node").alias("id")), rows.unionAll(three.parents), CODEC.layers))
-    return of.join(of.groupBy("root").agg(F.min("id").alias("least")), "root").select(F.col("id").alias("node"), "least")
-
-
 CHECKED = f"SELECT l_orderkey AS operation_id, {X.L} + l_orderkey * 8 + min(l_linenumber) AS a, CASE WHEN l_orderkey % 7 = 0 THEN {X.L} + l_orderkey * 8 + min(l_linenumber) WHEN l_orderkey % 7 = 1 THEN 2 * {X.L} + l_orderkey WHEN l_orderkey % 7 = 2 THEN {X.L} + l_orderkey * 8 + 0 ELSE {X.L} + (l_orderkey + 1) * 8 + 1 END AS b FROM lineitem GROUP BY 1"
 REGION = f"reg AS (SELECT DISTINCT {X.L} + l_orderkey * 8 + l_linenumber AS sv, n_regionkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)"
 
