@@ -153,13 +153,18 @@ def signed(docs: DataFrame, weighted: bool = False, bands: int = BANDS, rows_: i
     return docs.mapInArrow(each, _SIGNED)
 
 
-def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, items): sorted distinct 32-bit shingle hashes, packed; for verification of pairs."""
+def sets(docs: DataFrame, weighted: bool = False) -> DataFrame:
+    """(doc_id, items): sorted distinct 32-bit shingle hashes, packed; for verification of pairs.
+
+    Weighted, each occurrence of a shingle is an item of its own, so the Jaccard similarity of the items is that of the weights."""
 
     def each(batches):
         for b in batches:
             for start, stop, data, offs in blocks(*raw(b.column(1))):
-                row, h, _ = shingles(data, offs)
+                row, h, n = shingles(data, offs)
+                if weighted:
+                    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    row, h = np.repeat(row, n), mix(np.repeat(h, n) + nth.astype(np.uint64) * _U64(0xD6E8FEB86659FD93))
                 low = (h >> _U64(32)).astype(np.uint32)
                 cut = np.searchsorted(row, np.arange(stop - start + 1))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, stop - start), pa.array([np.unique(low[a:z]).tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["doc_id", "items"])
@@ -229,7 +234,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = checkpointed(buckets.join(lead, "band").select("band", "o", "a", F.col("rep").alias("b")))
     pairs = checkpointed(members.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = members.select(F.col("b").alias("doc_id")).distinct()
-    items = checkpointed(sets(docs.join(wanted, "doc_id", "left_semi")).groupBy("doc_id").agg(F.max("items").alias("items")))
+    items = checkpointed(sets(docs.join(wanted, "doc_id", "left_semi"), weighted).groupBy("doc_id").agg(F.max("items").alias("items")))
     links = verified(pairs, items, similarity).unionAll(same_doc)
     tried, comp = pairs, checkpointed(components(links))
     for i in range(rounds + 1):

@@ -191,6 +191,27 @@ def test_near_decides_crowded_buckets(spark, monkeypatch):
     assert got == want and sum(want[i] != i for i in want) == 20
 
 
+def test_weighted_near_against_brute_force(spark):
+    """Repeated shingles weigh by their number, in signatures and in verification."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(25):
+        parts = [[f"w{rng.randrange(9)}" for _ in range(7)] for _ in range(3)]
+        base = [w for p in parts for w in p * rng.randrange(1, 9)]
+        more = base + parts[0] * rng.randrange(4)
+        texts += [base, more, base[: len(base) - rng.randrange(6)]]
+    bags = [Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in texts]
+    root = list(range(len(bags)))
+    for i in range(len(bags)):
+        for j in range(i):
+            if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values()):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near.near_classes(df, weighted=True).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) < len(root) - 10
+
+
 def test_dart_signatures_estimate():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
