@@ -64,3 +64,42 @@ def test_shortest_paths_of_sources_apart(spark):
     s = spark.createDataFrame([(1,), (10,)], "source long")
     rows = lambda df: sorted((r.source, r.node, r.hops, tuple(r.path)) for r in df.collect())
     assert rows(shortest_paths(e, s, apart=True)) == rows(shortest_paths(e, s)) and len(rows(shortest_paths(e, s))) == 8
+
+
+def test_nearest_looks_up_a_place_once_and_broadcasts_no_points(spark, moved):
+    from hiergraph.operators.space import nearest
+
+    v = spark.range(100).selectExpr("id % 10 AS x", "id div 10 AS y", "0L AS z", "id AS sv")
+    p = spark.range(20_000).selectExpr("id AS point", "id % 10 AS x", "id % 7 AS y", "1L AS z")
+    found = nearest(p, v, 2)
+    assert sorted({(r.sv, r.d2) for r in found.collect() if r.point % 70 == 13}) == [(63, 1)] and found.count() == 20_000
+    assert moved(found.count)[1] < 40_000
+
+
+def test_clusters_of_many_points_at_few_places(spark):
+    """Pairs of points would be 50 million."""
+    from hiergraph.operators.space import clusters
+
+    p = spark.range(10_000).selectExpr("id AS point", "(id % 2) * 5.0 AS x", "0.0 AS y", "0.0 AS z")
+    assert {(r.point % 2, r.cluster) for r in clusters(p, 3).collect()} == {(0, 0), (1, 1)}
+    assert {r.cluster for r in clusters(p, 6).collect()} == {0}
+
+
+@pytest.mark.parametrize("pairs", [[(i, i + 1) for i in range(1, 9)] + [(3, 20), (5, 21)], [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (1, 5)], [(1, 2), (2, 3), (3, 1), (3, 4)], []])
+def test_closure_by_doubling(spark, pairs):
+    """Chains with forks, diamonds of unequal length, cycles, no lineage."""
+    from hiergraph.operators.history import closure
+
+    every = sorted({x for p in pairs for x in p}) or [1]
+    for forward in (True, False):
+        near = {x: {b if forward else a for a, b in pairs if (a if forward else b) == x} for x in every}
+        want = set()
+        for x in every:
+            seen, todo = {x}, [x]
+            for u in todo:
+                todo += [y for y in near[u] if y not in seen]
+                seen |= near[u]
+            want |= {(x, y) for y in seen - {x}}
+        lin = spark.createDataFrame(pairs, "old_root long, new_root long")
+        got = [tuple(r) for r in closure(lin, spark.createDataFrame([(x,) for x in every], "start long"), forward).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
