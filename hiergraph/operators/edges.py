@@ -33,10 +33,17 @@ def newest_attempt(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("max_child").agg(F.max_by("node", "segment").alias("node"), F.max("segment").alias("segment"))
 
 
+def _chunked(edges: DataFrame, codec: Codec) -> DataFrame:
+    """Edges with the chunks (ca, cb) of their ends, read from the ids where they do not bring them."""
+    return edges if "ca" in edges.columns else edges.withColumns({"ca": codec.chunk(F.col("a")), "cb": codec.chunk(F.col("b"))})
+
+
 def layer_two(nodes: DataFrame, edges: DataFrame, codec: Codec) -> DataFrame:
     """(node, l2): one layer-2 node for each component inside a chunk; ids count up by least member within the chunk."""
-    inner = edges.filter(codec.chunk(F.col("a")) == codec.chunk(F.col("b"))).select("a", "b").unionAll(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    comp = connected_components(inner).withColumn("chunk", codec.chunk(F.col("node")))
+    if "chunk" not in nodes.columns:
+        nodes = nodes.withColumn("chunk", codec.chunk(F.col("node")))
+    inner = _chunked(edges, codec).filter("ca = cb").select("a", "b").unionAll(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    comp = connected_components(inner).join(nodes.select("node", "chunk"), "node")
     firsts = comp.select("chunk", "root").distinct().withColumn("i", F.row_number().over(Window.partitionBy("chunk").orderBy("root")))
     # Layers 1 and 2 share a grid, so a chunk's layer-2 id is one layer up.
     return comp.join(firsts, ["chunk", "root"]).select("node", (F.col("chunk") + 2**56 + F.col("i")).alias("l2"))
@@ -44,16 +51,17 @@ def layer_two(nodes: DataFrame, edges: DataFrame, codec: Codec) -> DataFrame:
 
 def chunk_summary(l2: DataFrame, edges: DataFrame, codec: Codec) -> DataFrame:
     """(chunk, components, n_in, n_out) of layer-2 nodes (node, l2): edges are counted where their first end lies."""
-    inner = codec.cross_layer(F.col("a"), F.col("b")) == 1
-    kinds = edges.groupBy(codec.chunk(F.col("a")).alias("chunk")).agg(F.count_if(inner).alias("n_in"), F.count_if(~inner).alias("n_out"))
-    parts = l2.groupBy(codec.chunk(F.col("node")).alias("chunk")).agg(F.count_distinct("l2").alias("components"))
+    inner = codec.cross_layer(F.col("ca"), F.col("cb")) == 1
+    kinds = _chunked(edges, codec).groupBy(F.col("ca").alias("chunk")).agg(F.count_if(inner).alias("n_in"), F.count_if(~inner).alias("n_out"))
+    parts = l2.groupBy((codec.chunk(F.col("l2")) - 2**56).alias("chunk")).agg(F.count_distinct("l2").alias("components"))
     return parts.join(kinds, "chunk", "left").na.fill(0, ["n_in", "n_out"])
 
 
 def node_cross_edges(l2: DataFrame, edges: DataFrame, codec: Codec) -> DataFrame:
     """(l2, layer, a, b): the edges that leave their chunk, from both sides, with the layer-2 node of their first end."""
-    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    crossing = both.withColumn("layer", codec.cross_layer(F.col("a"), F.col("b"))).filter("layer > 1")
+    edges = _chunked(edges, codec)
+    both = edges.select("a", "b", "ca", "cb").unionAll(edges.select("b", "a", "cb", "ca"))
+    crossing = both.withColumn("layer", codec.cross_layer(F.col("ca"), F.col("cb"))).filter("layer > 1")
     return crossing.join(l2.select(F.col("node").alias("a"), "l2"), "a").select("l2", "layer", "a", "b")
 
 
@@ -89,7 +97,7 @@ def inactive_between(edges: DataFrame, components: DataFrame, asked: DataFrame,
 def layer_above(l2: DataFrame, edges: DataFrame, codec: Codec, layer: int) -> DataFrame:
     """(child, parent_root): components of layer-2 nodes over edges that stay within one chunk of ``layer``; parent_root is the least member."""
     named = lambda c: l2.select(F.col("node").alias(c), F.col("l2").alias(f"l{c}"))
-    up = edges.filter(codec.cross_layer(F.col("a"), F.col("b")) < layer).join(named("a"), "a").join(named("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    up = _chunked(edges, codec).filter(codec.cross_layer(F.col("ca"), F.col("cb")) < layer).join(named("a"), "a").join(named("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     every = l2.select(F.col("l2").alias("a"), F.col("l2").alias("b")).distinct()
     return connected_components(up.unionAll(every)).select(F.col("node").alias("child"), F.col("root").alias("parent_root"))
 
