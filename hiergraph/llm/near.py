@@ -236,7 +236,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = members.select(F.col("b").alias("doc_id")).distinct()
     items = checkpointed(sets(docs.join(wanted, "doc_id", "left_semi"), weighted).groupBy("doc_id").agg(F.max("items").alias("items")))
     links = verified(pairs, items, similarity).unionAll(same_doc)
-    tried, comp = pairs, checkpointed(components(links))
+    tried, comp = pairs, checkpointed(components(links, 200_000))
     for i in range(rounds + 1):
         placed = members.join(comp, members["b"] == comp["node"], "left").select("band", "o", F.col("b"), F.coalesce("root", "b").alias("root"))
         mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
@@ -251,12 +251,12 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         # What is known already stands for the links behind it.
         known = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        comp, tried = checkpointed(components(known.unionAll(found))), tried.unionAll(more)
+        comp, tried = checkpointed(components(known.unionAll(found), 200_000)), tried.unionAll(more)
     crowd = checkpointed(crowd.select(F.col("b").alias("doc_id"), "root").distinct())
     if not crowd.isEmpty():
         found = checkpointed(verified(checkpointed(crowded(crowd, items, similarity)), items, similarity))
         if not found.isEmpty():
-            comp = checkpointed(components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found)))
+            comp = checkpointed(components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found), 200_000))
     return s.join(comp, s["doc_id"] == comp["node"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), "n_shingles")
 
 

@@ -1,6 +1,8 @@
 import random
+import re
 
 from hiergraph.functions.ids import Codec
+from hiergraph.operators import edits
 from hiergraph.operators.edits import apply_edits, build, checked_merges, checked_splits, fake_edges, undone
 from hiergraph.operators.hierarchy import roots
 
@@ -85,3 +87,36 @@ def test_validators(spark):
     assert say(checked_splits(asked, p, C)) == {1: "source is sink", 2: None, 3: "several roots", 4: "not a supervoxel", 5: "unknown node"}
     inactive = spark.createDataFrame([(3, 7, 8)], "operation_id long, a long, b long")
     assert sorted(map(tuple, fake_edges(asked.filter("operation_id IN (2, 3)"), inactive).collect())) == [(2, a, b, True), (3, 7, 8, False)]
+
+
+def test_ids_of_a_large_chunk_are_not_sorted_in_one_task(spark):
+    """Many groups of one chunk, as the uppermost has: distinct ids above what is known, dealt out, and hardly a number left out."""
+    groups = spark.range(3000).selectExpr(f"{4 << 56}L AS chunk", "id AS key")
+    top = spark.createDataFrame([(4 << 56, 7)], "chunk long, top long")
+    got = edits._numbered(groups, top, C, each=100)
+    ids = {r.id - (4 << 56) for r in got.collect()}
+    assert len(ids) == 3000 and min(ids) > 7 and max(ids) < 2 * 3000
+    assert re.search(r"hashpartitioning\([^)]*part#", got._jdf.queryExecution().toString())
+
+
+def test_retired_ids_are_not_given_again(spark):
+    a, b = sv(0, 0, 0, 1), sv(0, 0, 0, 2)
+    one = build(spark.createDataFrame([(a,), (b,)], "node long"), frame(spark, []), C, "2024-01-01 00:00:00")
+    two = apply_edits(one.parents, one.edges, C, "2024-01-02 00:00:00", added=frame(spark, [(a, b)]))
+    three = apply_edits(one.parents.unionAll(two.parents), two.edges, C, "2024-01-03 00:00:00", removed=frame(spark, [(a, b)]))
+    four = apply_edits(one.parents.unionAll(two.parents).unionAll(three.parents), three.edges, C, "2024-01-04 00:00:00", added=frame(spark, [(a, b)]))
+    made = [{r.parent_id for r in x.parents.collect()} for x in (one, two, three, four)]
+    assert sum(map(len, made)) == len(set.union(*made))
+
+
+def test_ingest_takes_few_jobs(spark):
+    """Nothing that an ingest cannot replace is looked up, and self edges do not start rounds of components."""
+    nodes = [sv(x, y, 0, s) for x in range(4) for y in range(4) for s in range(1, 4)]
+    svs = spark.createDataFrame([(n,) for n in nodes], "node long")
+    jobs = lambda: spark.sparkContext._jsc.sc().statusStore().jobsList(spark.sparkContext._jvm.java.util.ArrayList())
+    ids = lambda: {jobs().apply(i).jobId() for i in range(jobs().size())}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    before = max(ids(), default=-1)
+    got = build(svs, frame(spark, list(zip(nodes, nodes[5:], strict=False))), C, "2024-01-01 00:00:00")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert max(ids()) - before < 100 and got.lineage.isEmpty()
