@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import Codec
-from .graph import checkpointed, connected_components
+from .graph import connected_components
 
 
 def directed(edges: DataFrame, inside: Column) -> DataFrame:
@@ -83,15 +83,21 @@ def fake_edges_at(stored: DataFrame, chunks: DataFrame, at: str) -> DataFrame:
     return stored.filter(F.col("ts") <= F.lit(at).cast("timestamp_ntz")).join(chunks.select("chunk"), "chunk", "left_semi").select("chunk", "a", "b")
 
 
+def merges_apart(components: DataFrame, asked: DataFrame) -> DataFrame:
+    """(operation_id, source, sink, lo, hi): merges asked (operation_id, source, sink) whose ends lie in two components (node, root), lo < hi."""
+    named = lambda c, r: components.select(F.col("node").alias(c), F.col("root").alias(r))
+    ends = asked.join(named("source", "rs"), "source").join(named("sink", "rt"), "sink").filter("rs <> rt")
+    return ends.select("operation_id", "source", "sink", F.least("rs", "rt").alias("lo"), F.greatest("rs", "rt").alias("hi"))
+
+
 def inactive_between(edges: DataFrame, components: DataFrame, asked: DataFrame, active: str) -> DataFrame:
-    """(operation_id, a, b): for merges asked (operation_id, source, sink) the inactive edges between the two components
-    (node, root) their ends lie in: what the merge turns active."""
-    cc = checkpointed(components)
-    named = lambda c, r: cc.select(F.col("node").alias(c), F.col("root").alias(r))
+    """(operation_id, a, b): for merges asked (operation_id, source, sink), or those ``merges_apart`` found, the inactive edges between the two
+    components (node, root) their ends lie in: what the merge turns active."""
+    named = lambda c, r: components.select(F.col("node").alias(c), F.col("root").alias(r))
     j = edges.filter(f"NOT ({active})").join(named("a", "ra"), "a").join(named("b", "rb"), "b").filter("ra <> rb")
     keyed = j.select("a", "b", F.least("ra", "rb").alias("lo"), F.greatest("ra", "rb").alias("hi"))
-    ends = asked.join(named("source", "rs"), "source").join(named("sink", "rt"), "sink").filter("rs <> rt")
-    return ends.select("operation_id", F.least("rs", "rt").alias("lo"), F.greatest("rs", "rt").alias("hi")).join(keyed, ["lo", "hi"]).select("operation_id", "a", "b").distinct()
+    ends = asked if "lo" in asked.columns else merges_apart(components, asked)
+    return ends.select("operation_id", "lo", "hi").join(keyed, ["lo", "hi"]).select("operation_id", "a", "b").distinct()
 
 
 def layer_above(l2: DataFrame, edges: DataFrame, codec: Codec, layer: int) -> DataFrame:

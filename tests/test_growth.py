@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from hiergraph.operators.graph import connected_components, shortest_paths
+from hiergraph.operators.graph import component_paths, connected_components, near_components, shortest_paths
 
 
 @pytest.fixture
@@ -59,6 +59,52 @@ def test_components_move_few_rows(spark, moved):
     assert moved(lambda: connected_components(e, small=1000).count())[1] < 14 * n
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_near_components(spark, seed):
+    """Edges in any order and often given, self edges, nodes of several partitions, levels behind the links."""
+    r = random.Random(seed)
+    pairs = [(i, i + 1) for i in range(100, 140)] + [(r.randrange(400, 460), r.randrange(400, 460)) for _ in range(60)] + [(7, 7), (110, 110)]
+    pairs += [(900 + i, 1000 + (i + d) % 20) for i in range(20) for d in (0, 1, 1)]
+    r.shuffle(pairs)
+    got = [(x.node, x.root) for x in near_components(spark.createDataFrame(pairs, "a long, b long"), small=0).collect()]
+    assert len(got) == len(set(got)) and set(got) == united(pairs)
+
+
+@pytest.mark.parametrize("name, times", [("g02_connected_components", 3), ("e10_edges_status", 5), ("g04_shortest_paths", 5), ("g10_direct_cuts", 4), ("i03_fake_edges", 7)])
+def test_queries_move_few_rows(spark, moved, tmp_path, name, times):
+    """Orders that share few supervoxels, as at scale: a query moves a row a few times, not once in every round."""
+    from conftest import TABLES
+    from hiergraph import plans
+
+    import duckdb
+
+    for t in TABLES:
+        if t != "lineitem":
+            (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    duckdb.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.1/lineitem.parquet' WHERE l_orderkey % 10 = 0) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    assert moved(lambda: plans.QUERIES[name](spark, str(tmp_path)).count())[1] < times * 60_000
+
+
+@pytest.mark.parametrize("most", [0, 3, 2000])
+def test_component_paths(spark, most):
+    """Components of all sizes, by tasks and by joins: the paths are the same."""
+    r = random.Random(5)
+    pairs = [(r.randrange(k, k + 9), r.randrange(k, k + 9)) for k in (10, 30, 50) for _ in range(8)] + [(70, 71), (71, 72), (72, 71), (80, 80), (90 + 1, 90)]
+    e = spark.createDataFrame(pairs, "a long, b long")
+    cc = connected_components(e)
+    want = sorted((x.source, x.node, x.hops, ",".join(map(str, x.path))) for x in shortest_paths(e, cc.selectExpr("root AS source").distinct()).collect())
+    assert sorted(map(tuple, component_paths(e, cc, most).collect())) == want
+
+
+def test_paths_of_components_over_batches():
+    import pandas as pd
+    from hiergraph.operators.graph import _paths_near
+
+    g = pd.DataFrame([(10 * k, 10 * k + i, 10 * k + i + 1) for k in range(7) for i in range(k + 1)], columns=["root", "a", "b"])
+    got = pd.concat(_paths_near((g.iloc[i : i + 2] for i in range(0, len(g), 2)), most=5))
+    assert len(got) == sum(k + 2 for k in range(7)) and (got["path"] == [",".join(str(x) for x in range(s, n + 1)) for s, n in zip(got["source"], got["node"], strict=True)]).all()
+
+
 def test_shortest_paths_of_sources_apart(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 4), (4, 5), (10, 11), (11, 12)], "a long, b long")
     s = spark.createDataFrame([(1,), (10,)], "source long")
