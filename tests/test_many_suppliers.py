@@ -51,3 +51,24 @@ def test_supervoxels_of_one_id(spark, shared, name):
     assert ids < svs
     df, r = plans.QUERIES[name](spark, at), c.execute(plans.ORACLES[name])
     assert rows(df.columns, [tuple(x) for x in df.collect()]) == rows([x[0] for x in r.description], r.fetchall())
+
+
+def test_box_is_not_worked_out_for_every_edge(spark, small):
+    """Catalyst hands the chunks' condition down to the edges where it can, written out for each use of their ends."""
+    plan = plans.QUERIES["g05_l2_edge_list"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 30_000 and plan.count("l_suppkey") < 100
+
+
+@pytest.mark.parametrize("fanout, layers", [(2, 5), (4, 4), (8, 4), (3, 5)])
+def test_cross_layer_counts_grids(spark, fanout, layers):
+    from hiergraph.functions.ids import Codec
+    from pyspark.sql import functions as F
+
+    codec = Codec(layers=layers, fanout=fanout)
+    at = [(x * 7 % 64, x * 5 % 64, x % 3) for x in range(64)]
+    pairs = [(*p, *q) for p in at for q in at]
+    df = spark.createDataFrame(pairs, "ax long, ay long, az long, bx long, by long, bz long")
+    ends = [codec.pack(F.lit(2), *(F.col(f"{e}{c}") for c in "xyz")) for e in "ab"]
+    got = df.select("*", codec.cross_layer(*ends).alias("layer")).collect()
+    assert all(r.layer == 1 + sum(any(p // fanout**k != q // fanout**k for p, q in zip(r[:3], r[3:6], strict=True)) for k in range(layers - 2)) for r in got)
+    assert dict(df.select(codec.cross_layer(*ends).alias("layer"), codec.cross_layer(F.lit(None).cast("long"), ends[1]).alias("none")).dtypes) == {"layer": "int", "none": "int"}
